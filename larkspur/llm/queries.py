@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from larkspur.llm import mixing, neardup
+from larkspur.llm import fingerprint, media, mixing, neardup, packing, training_order
 
 QUERIES = {
     "op2_neardup": neardup.op2_neardup,
     "op3_mixing": mixing.op3_mixing,
+    "op6_packing": packing.op6_packing,
+    "op8_media": media.op8_media,
+    "op9_fingerprint": fingerprint.op9_fingerprint,
+    "op10_training_order": training_order.op10_training_order,
 }
 SQL = {
     "op2_neardup": neardup.SQL,

@@ -117,44 +117,45 @@ def row_mod(crc_of: str, by: int) -> F.Column:
     return F.crc32(F.col(crc_of).cast("string").cast("binary")) % by
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 5) -> list[tuple[bytes, int]]:
-    """At most per_class labelled texts of each class, drawn by hash: a uniform sample, the same one on every run.
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 5) -> tuple[list[tuple[bytes, int, str | None]], tuple[int, int]]:
+    """At most per_class labelled texts of each class with their languages, drawn by hash, and the counts of both classes.
 
-    Labels that are null or other than 0 and 1 are passed over; so are documents without text.
-    A document labelled twice counts once, with its larger label. Only the sample reaches the
-    driver, 2 * per_class rows by contract.
+    The sample is uniform within a class and the same on every run. Labels that are null or
+    other than 0 and 1 are passed over; so are documents without text. A document labelled
+    twice counts once, with its larger label. Only the sample reaches the driver: 2 * per_class
+    rows by contract.
     """
-    spark = docs.sparkSession
     lab = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     lab = lab.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 16))
     n = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    top = 1 << 48
-    bound = F.when(F.col("y") == 1, F.lit(int(top * min(1.0, per_class / max(n.get(1, 0), 1))))).otherwise(F.lit(int(top * min(1.0, per_class / max(n.get(0, 0), 1)))))
-    ids = lab.where(F.col("h") < bound).select("doc_id", "y")
-    rows = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id").select("doc_id", "text", "y").collect()
-    del spark
+    ids = None
+    for y in (0, 1):
+        bound = int((1 << 48) * min(1.0, 1.2 * per_class / max(n.get(y, 0), 1)))
+        part = lab.where((F.col("y") == y) & (F.col("h") < F.lit(bound))).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y")
+        ids = part if ids is None else ids.union(part)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", lang.alias("lang")).where("text is not null").join(F.broadcast(ids), "doc_id").collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"]), seed), r["text"]))
-    out, seen, left = [], set(), {0: per_class, 1: per_class}
+    out, seen = [], set()
     for r in rows:
-        if r["doc_id"] not in seen and left[r["y"]] > 0:
+        if r["doc_id"] not in seen:
             seen.add(r["doc_id"])
-            left[r["y"]] -= 1
-            out.append((r["text"].encode("utf-8", "replace"), r["y"]))
-    return out
+            out.append((r["text"].encode("utf-8", "replace"), r["y"], r["lang"]))
+    return out, (n.get(0, 0), n.get(1, 0))
 
 
-def without_copies(sample: list[tuple[bytes, int]]) -> list[tuple[bytes, int]]:
+def without_copies(sample: list[tuple]) -> list[tuple]:
     """The sample less near copies of earlier texts: one text copied often would make each of its words look telling."""
     hashes, seeds = WordHashes(), mix64(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
     seen: list[set[int]] = [set() for _ in seeds]
     out = []
-    for text, y in sample:
-        h = hashes.of(words(text))
+    for row in sample:
+        h = hashes.of(words(row[0]))
         if len(h) >= 3:
             h = mix64(h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:])
         low = [int((h * s).min()) for s in seeds] if len(h) else [0] * len(seeds)
         if sum(a in b for a, b in zip(low, seen, strict=True)) < 3:
-            out.append((text, y))
+            out.append(row)
         for a, b in zip(low, seen, strict=True):
             b.add(a)
     return out

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import WORD
 
 #: A hash is retained if, as a signed number, it is in [0, 2^62): a quarter of all hashes.
-LIMIT, BITS = 1 << 62, 30
+LIMIT, BITS = 1 << 62, 31
 SHINGLE, ROWS_PER_RANGE, MOST_RANGES = 5, 4096, 1024
 
 
 def sketch(text: Column) -> Column:
-    """array<int>: the retained hashes (32 bits each, distinct, sorted).
+    """array<int>: the retained hashes (31 bits each, distinct, sorted).
 
     A text of fewer than five words is one shingle. The smallest hash stands in where none is
     retained, so only texts without words (null, empty, white space) have an empty sketch.
@@ -30,7 +30,7 @@ def sketch(text: Column) -> Column:
 
     # Each step is bound through a one-element array, so that no step is computed twice.
     bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    short = lambda g: F.transform(g, lambda h: F.shiftright(h, BITS).cast("int"))
+    short = lambda g: F.transform(g, lambda h: F.shiftright(h, BITS).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
 
     def retained(g: Column) -> Column:
         return bind(F.filter(g, lambda h: (h >= 0) & (h < LIMIT)), lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(F.array_min(g))))
@@ -45,7 +45,7 @@ def sketch(text: Column) -> Column:
 
 def as_text(sk: Column) -> Column:
     """Eight hexadecimal digits for each retained hash."""
-    return F.array_join(F.transform(sk, lambda h: F.lpad(F.hex(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+    return F.array_join(F.transform(sk, lambda h: F.lpad(F.hex(h.cast("bigint")), 8, "0")), "")
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -80,13 +80,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     else:
         at = F.lit(0)
     docs = docs.withColumn("range", at.cast("int"))
-    ids = docs.groupBy("range").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first_id"))
-    used = sorted(r["range"] for r in ids.select("range").collect())
+    least = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    ids = docs.groupBy("range").agg(F.min(least).alias("first_id")).withColumnRenamed("range", "own")
+    used = sorted(r["own"] for r in ids.select("own").collect())
     if not used:
         return docs.withColumns({"next_text": F.col("text"), "next_sk": F.col("sk")}).drop("range")
     before = {r: used[i - 1] for i, r in enumerate(used)}
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    heads = docs.join(F.broadcast(ids), (docs["range"] == ids["range"]) & (F.coalesce(docs["doc_id"], F.lit(-(1 << 63))) == ids["first_id"])).select(docs["range"].alias("own"), "doc_id", "text", "sk")
+    heads = docs.join(F.broadcast(ids), (F.col("range") == F.col("own")) & (least == F.col("first_id"))).select("own", "doc_id", "text", "sk")
     heads = heads.withColumn("i", F.row_number().over(Window.partitionBy("own").orderBy(*order))).where("i = 1")
     back = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
     heads = heads.select(F.element_at(back, F.col("own")).alias("range"), F.struct("text", "sk").alias("head"))

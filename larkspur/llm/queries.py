@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from larkspur.llm import fingerprint, media, mixing, neardup, packing, training_order
+from larkspur.llm import fingerprint, html, media, mixing, neardup, packing, quality, toxicity, training_order
 
 QUERIES = {
+    "op1_html": html.op1_html,
     "op2_neardup": neardup.op2_neardup,
     "op3_mixing": mixing.op3_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
+    "op7_quality": quality.op7_quality,
     "op8_media": media.op8_media,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_training_order": training_order.op10_training_order,

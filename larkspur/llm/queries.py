@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from larkspur.llm import fingerprint, html, media, mixing, neardup, packing, quality, toxicity, training_order
+from larkspur.llm import fingerprint, html, lm, media, mixing, neardup, packing, quality, toxicity, training_order
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op2_neardup": neardup.op2_neardup,
     "op3_mixing": mixing.op3_mixing,
+    "op4_lm": lm.op4_lm,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_quality": quality.op7_quality,

@@ -35,15 +35,16 @@ def contains(column: Column, value: Any) -> Column:
             items = F.from_json(F.get_json_object(doc, path), "array<string>")
             out = items.isNotNull()
             for x in v:
-                if isinstance(x, (dict, list)):
-                    out = out & F.coalesce(F.exists(items, lambda i, x=x: at(i, "$", x)), F.lit(False))
-                else:
-                    out = out & F.coalesce(F.exists(items, lambda i, x=x: i == F.lit(_scalar(x))), F.lit(False))
+                out = out & has(items, x)
             return out
         if v is None:
             return F.get_json_object(F.concat(F.lit('{"x":'), F.coalesce(F.get_json_object(doc, path), F.lit("null")), F.lit("}")), "$.x").isNull()
         return F.get_json_object(doc, path) == F.lit(_scalar(v))
 
+    def has(items: Column, x: Any) -> Column:
+        test = (lambda i: at(i, "$", x)) if isinstance(x, (dict, list)) else (lambda i: i == F.lit(_scalar(x)))
+        return F.coalesce(F.exists(items, test), F.lit(False))
+
     return F.coalesce(at(column, "$", value), F.lit(False))
 
 

@@ -8,6 +8,7 @@ false, except that every range contains it.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -64,57 +65,50 @@ def canonical(r: Column, of: T.DataType) -> Column:
     return make(low, high, low.isNotNull(), False, r["empty"] | F.coalesce(low >= high, F.lit(False)))
 
 
-def _pair(a: Column, b: Column, of: T.DataType) -> tuple[Column, Column, Column]:
-    a, b = canonical(a, of), canonical(b, of)
-    return a, b, ~a["empty"] & ~b["empty"]
-
-
 def _or(c: Column, when_null: bool) -> Column:
     return F.coalesce(c, F.lit(when_null))
 
 
-def left_of(a: Column, b: Column, of: T.DataType) -> Column:
-    """a << b"""
-    a, b, full = _pair(a, b, of)
-    return full & _or((a["upper"] < b["lower"]) | ((a["upper"] == b["lower"]) & ~(a["upper_inc"] & b["lower_inc"])), False)
+def _full(a: Column, b: Column) -> Column:
+    return ~a["empty"] & ~b["empty"]
 
 
-def right_of(a: Column, b: Column, of: T.DataType) -> Column:
-    """a >> b"""
-    return left_of(b, a, of)
+def _left_of(a: Column, b: Column) -> Column:
+    return _full(a, b) & _or((a["upper"] < b["lower"]) | ((a["upper"] == b["lower"]) & ~(a["upper_inc"] & b["lower_inc"])), False)
 
 
-def not_right(a: Column, b: Column, of: T.DataType) -> Column:
-    """a &< b: a does not extend to the right of b."""
-    a, b, full = _pair(a, b, of)
+def _not_right(a: Column, b: Column) -> Column:
     within = (a["upper"] < b["upper"]) | ((a["upper"] == b["upper"]) & (~a["upper_inc"] | b["upper_inc"]))
-    return full & F.when(b["upper"].isNull(), True).when(a["upper"].isNull(), False).otherwise(within)
+    return _full(a, b) & F.when(b["upper"].isNull(), True).when(a["upper"].isNull(), False).otherwise(within)
 
 
-def not_left(a: Column, b: Column, of: T.DataType) -> Column:
-    """a &> b: a does not extend to the left of b."""
-    a, b, full = _pair(a, b, of)
+def _not_left(a: Column, b: Column) -> Column:
     within = (a["lower"] > b["lower"]) | ((a["lower"] == b["lower"]) & (~a["lower_inc"] | b["lower_inc"]))
-    return full & F.when(b["lower"].isNull(), True).when(a["lower"].isNull(), False).otherwise(within)
+    return _full(a, b) & F.when(b["lower"].isNull(), True).when(a["lower"].isNull(), False).otherwise(within)
+
 
+def _touch(a: Column, b: Column) -> Column:
+    return _or((a["upper"] == b["lower"]) & (a["upper_inc"] != b["lower_inc"]), False)
 
-def adjacent(a: Column, b: Column, of: T.DataType) -> Column:
-    """a -|- b: the bounds touch, and just one of them is inclusive."""
-    a, b, full = _pair(a, b, of)
-    touch = lambda x, y: _or((x["upper"] == y["lower"]) & (x["upper_inc"] != y["lower_inc"]), False)
-    return full & (touch(a, b) | touch(b, a))
 
+def _on(test: Callable[[Column, Column], Column]) -> Callable[[Column, Column, T.DataType], Column]:
+    """The test on both ranges in canonical form, each made once for a row. Null if either is null."""
 
-def overlaps(a: Column, b: Column, of: T.DataType) -> Column:
-    """a && b"""
-    x, y, full = _pair(a, b, of)
-    return full & ~left_of(x, y, of) & ~left_of(y, x, of)
+    def predicate(a: Column, b: Column, of: T.DataType) -> Column:
+        pair = F.struct(canonical(a, of).alias("a"), canonical(b, of).alias("b"))
+        return F.when(a.isNotNull() & b.isNotNull(), F.get(F.transform(F.array(pair), lambda p: test(p["a"], p["b"])), F.lit(0)))
 
+    return predicate
 
-def contains(a: Column, b: Column, of: T.DataType) -> Column:
-    """a @> b"""
-    x, y, full = _pair(a, b, of)
-    return y["empty"] | (full & not_right(y, x, of) & not_left(y, x, of))
 
+#: a << b, a >> b, a &< b (does not extend to the right of b), a &> b, a -|- b (adjacent), a && b, a @> b, a <@ b
+left_of = _on(_left_of)
+right_of = _on(lambda a, b: _left_of(b, a))
+not_right = _on(_not_right)
+not_left = _on(_not_left)
+adjacent = _on(lambda a, b: _full(a, b) & (_touch(a, b) | _touch(b, a)))
+overlaps = _on(lambda a, b: _full(a, b) & ~_left_of(a, b) & ~_left_of(b, a))
+contains = _on(lambda a, b: b["empty"] | (_not_right(b, a) & _not_left(b, a)))
+contained = _on(lambda a, b: a["empty"] | (_not_right(a, b) & _not_left(a, b)))
 
-PREDICATES = {"sl": left_of, "sr": right_of, "nxr": not_right, "nxl": not_left, "adj": adjacent, "ov": overlaps, "cs": contains, "cd": lambda a, b, of: contains(b, a, of)}
+PREDICATES = {"sl": left_of, "sr": right_of, "nxr": not_right, "nxl": not_left, "adj": adjacent, "ov": overlaps, "cs": contains, "cd": contained}

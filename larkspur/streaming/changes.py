@@ -132,7 +132,7 @@ class Broker:
         self.queries, self.running = [], False
 
 
-def drain(stream: DataFrame, folder: str, timeout: float = 300) -> DataFrame:
+def drain(stream: DataFrame, folder: str, timeout: float = 600) -> DataFrame:
     """All that a stream has now, as a table: written by one query until the source is read out."""
     base = f"{folder.rstrip('/')}/drain-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()

@@ -4,12 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 
-_COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_SELECT = np.full((256, 8), 8, np.uint8)
+_SELECT = np.full(8 << 8, 8, np.uint8)  # rank * 256 + byte -> position of that one
 for _b in range(256):
     for _k, _i in enumerate([i for i in range(8) if _b >> i & 1]):
-        _SELECT[_b, _k] = _i
+        _SELECT[_k * 256 + _b] = _i
 _U = np.uint64
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+_M1, _M2, _M4 = _U(0x5555555555555555), _U(0x3333333333333333), _U(0x0F0F0F0F0F0F0F0F)
+
+
+def select_in_word(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Position of the k-th one (from 0) of each 64-bit word, by sums of byte counts."""
+    c = x - ((x >> _U(1)) & _M1)
+    c = (c & _M2) + ((c >> _U(2)) & _M2)
+    sums = ((c + (c >> _U(4))) & _M4) * _ONES  # byte i: ones in bytes 0 to i
+    k = k.astype(np.uint64)
+    under = (((k * _ONES) | _TOPS) - sums) & _TOPS  # bytes whose sum is at most k
+    at = (((under >> _U(7)) * _ONES) >> _U(53)) & _U(0x78)
+    rest = k - (((sums << _U(8)) >> at) & _U(255))
+    return (at + _SELECT[((rest << _U(8)) | ((x >> at) & _U(255))).astype(np.int64)]).astype(np.int64)
 
 
 class EliasFano:
@@ -34,7 +47,7 @@ class EliasFano:
         bits[n + buckets :] = 1  # no zeros past the last bucket
         high = np.packbits(bits, bitorder="little").view(np.uint64)
         zeros = np.zeros(len(high) + 1, np.int64)
-        zeros[1:] = np.cumsum(64 - _COUNT[high.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.int64))
+        zeros[1:] = np.cumsum(64 - np.bitwise_count(high).astype(np.int64))
         low = np.zeros((n * l + 63) // 64 + 1, np.uint64)
         if l:
             out, step = low.view(np.uint8), 1 << 16
@@ -61,51 +74,59 @@ class EliasFano:
         over = np.where(s + _U(l) > _U(64), self.low[np.minimum(w + 1, len(self.low) - 1)] << ((_U(64) - s) & _U(63)), _U(0))
         return (v | over) & _U((1 << l) - 1)
 
-    def _in_word(self, words: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Position of the k-th one in each word."""
-        by = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_COUNT[by], 1, dtype=np.uint8)
-        at = (upto <= k[:, None]).sum(1)
-        rows = np.arange(len(k))
-        before = np.where(at > 0, upto[rows, np.maximum(at - 1, 0)], 0)
-        return at * 8 + _SELECT[by[rows, at], k - before]
-
-    def _before(self, bucket: np.ndarray) -> np.ndarray:
-        """How many elements lie in earlier buckets."""
-        k = bucket - 1
-        q = np.maximum(k, 0)
-        w = np.searchsorted(self.zeros, q, "right") - 1
-        pos = w * 64 + self._in_word(~self.high[w], (q - self.zeros[w]).astype(np.int64))
-        return np.where(bucket > 0, pos - q, 0)
-
-    def lower_bound(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first element not under x (n if none); x best sorted."""
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the elements of each bucket begin, and where they end."""
+        k = np.maximum(h - 1, 0)
+        w = np.searchsorted(self.zeros, k, "right") - 1
+        pos = np.where(h > 0, w * 64 + select_in_word(~self.high[w], k - self.zeros[w]) + 1, 0)
+        # The run of ones from pos on: the bucket's elements.
+        w, s = pos >> 6, (pos & 63).astype(np.uint64)
+        top = len(self.high) - 1
+        ahead = np.where(s > 0, self.high[np.minimum(w + 1, top)] << ((_U(64) - s) & _U(63)), _U(0))
+        zero = ~((self.high[np.minimum(w, top)] >> s) | ahead)
+        run = np.bitwise_count((zero & (~zero + _U(1))) - _U(1)).astype(np.int64)  # 64 if there is no zero
+        lo = pos - h
+        long = np.flatnonzero(run >= 64)
+        if len(long):
+            k = h[long]
+            w = np.searchsorted(self.zeros, k, "right") - 1
+            run[long] = w * 64 + select_in_word(~self.high[w], k - self.zeros[w]) - pos[long]
+        return lo, np.minimum(lo + run, self.n)
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower bounds of x, and whether x itself is there."""
         x = np.asarray(x, np.uint64)
         if not self.n or not len(x):
-            return np.zeros(len(x), np.int64)
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
         h = (x >> _U(self.low_bits)).astype(np.int64)
         last = int(self.zeros[-1]) - 1
         beyond = h > last
-        h = np.minimum(h, last)
-        lo = self._before(h)
-        hi = np.where(h < last, self._before(np.minimum(h + 1, last)), self.n)
+        lo, end = self._bucket(np.minimum(h, last))
+        hi = end.copy()
         want = x & _U((1 << self.low_bits) - 1)
         live = np.flatnonzero(lo < hi)
         while len(live):
             a, b = lo[live], hi[live]
             mid = (a + b) >> 1
             under = self._low(mid) < want[live]
-            lo[live] = np.where(under, mid + 1, a)
-            hi[live] = np.where(under, b, mid)
-            live = live[lo[live] < hi[live]]
-        return np.where(beyond, self.n, lo)
+            a, b = np.where(under, mid + 1, a), np.where(under, b, mid)
+            lo[live], hi[live] = a, b
+            live = live[a < b]
+        found = (lo < end) & ~beyond
+        i = np.flatnonzero(found)
+        found[i] = self._low(lo[i]) == want[i]
+        return np.where(beyond, self.n, lo), found
+
+    def lower_bound(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first element not under x (n if none); x best sorted."""
+        return self._search(x)[0]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The elements at indexes i."""
         i = np.asarray(i, np.int64)
         ones = self._ones()
         w = np.searchsorted(ones, i, "right") - 1
-        pos = w * 64 + self._in_word(self.high[w], i - ones[w])
+        pos = w * 64 + select_in_word(self.high[w], i - ones[w])
         return ((pos - i).astype(np.uint64) << _U(self.low_bits)) | self._low(i)
 
     def _ones(self) -> np.ndarray:
@@ -116,14 +137,8 @@ class EliasFano:
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of x, or -1."""
-        at = self.lower_bound(x)
-        ok = at < self.n
-        got = np.full(len(at), -1, np.int64)
-        i = np.flatnonzero(ok)
-        if len(i):
-            i = i[self.access(at[i]) == np.asarray(x, np.uint64)[i]]
-            got[i] = at[i]
-        return got
+        at, found = self._search(x)
+        return np.where(found, at, -1)
 
     def values(self) -> np.ndarray:
         return self.access(np.arange(self.n))

@@ -25,18 +25,19 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordHashes, map_file, open_fs, put_file, row_mod, shared_dir, small_batches, texts
+from larkspur.llm.common import map_file, open_fs, put_file, row_mod, shared_dir, small_batches
 from larkspur.llm.eliasfano import EliasFano, from_buffer, to_bytes
+from larkspur.llm.wordhash import hash_texts
 
 CHUNK = 1 << 20
-END, BEGIN = xxhash.xxh64_intdigest(b"\n"), -1
+END = xxhash.xxh64_intdigest(b"\n")
 STEPS = 8192.0  # steps of a decimal logarithm; 65535 of them reach 10^-8
-_hashes = WordHashes()
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -65,20 +66,18 @@ def from_run(run: bytes) -> tuple[np.ndarray, np.ndarray]:
 def chunks(batches: Iterator[pa.RecordBatch], keep_ids: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
     """(word hashes of whole texts end to end, END after each; where each text begins; doc_ids), about CHUNK tokens at a time."""
     held, begin, docs, n = [], [], [], 0
-    tail = np.array([END], np.uint64)
-    for b in small_batches(batches, 128):
-        ids = b.column(0).to_pylist() if keep_ids else [None] * b.num_rows
-        for doc, t in zip(ids, texts(b), strict=True):
-            h = _hashes.of(t.lower().split()) if t else tail[:0]
-            held += [h, tail]
-            begin.append(n)
-            docs.append(doc)
-            n += len(h) + 1
-            if n >= CHUNK:
-                yield np.concatenate(held), np.array(begin), docs
-                held, begin, docs, n = [], [], [], 0
+    for b in small_batches(batches, 256):
+        hashes, count = hash_texts(b.column(1))
+        ends = np.cumsum(count)
+        held.append(np.insert(hashes, ends, np.uint64(END)))
+        begin.append(n + ends - count + np.arange(len(count)))
+        docs += b.column(0).to_pylist() if keep_ids else [None] * b.num_rows
+        n += len(held[-1])
+        if n >= CHUNK:
+            yield np.concatenate(held), np.concatenate(begin), docs
+            held, begin, docs, n = [], [], [], 0
     if n:
-        yield np.concatenate(held), np.array(begin), docs
+        yield np.concatenate(held), np.concatenate(begin), docs
 
 
 def runs_by_range(codes: np.ndarray, counts: np.ndarray, ranges: np.ndarray) -> pa.RecordBatch:
@@ -115,6 +114,22 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
         yield (at, *add([total, *parts] if total else parts))
 
 
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and each element's place among them."""
+    new = np.r_[True, x[1:] != x[:-1]][: len(x)]
+    return x[new], np.cumsum(new) - 1
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with inverse, by hashing: only the distinct values are sorted."""
+    codes, u = pd.factorize(x.view(np.int64) if x.dtype == np.uint64 else x)
+    u = u.view(x.dtype) if x.dtype == np.uint64 else u
+    order = np.argsort(u)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return u[order], back[codes]
+
+
 class Level:
     """One level's segments: sequence, running counts, probabilities, back-off weights. Positions run through all segments."""
 
@@ -147,9 +162,10 @@ class Level:
 
     def _by_segment(self, sorted_at: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, slice]]:
         s = np.searchsorted(edges, sorted_at, "right") - 1
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else []
-        for a, b in zip(first, [*first[1:], len(s)], strict=True):
-            yield int(s[a]), slice(a, b)
+        if len(s):
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            for a, b in zip(first, [*first[1:], len(s)], strict=True):
+                yield int(s[a]), slice(a, b)
 
     def search(self, codes: np.ndarray, exact: bool = True) -> np.ndarray:
         """Positions of sorted codes (-1: absent), or of the first element not under each."""
@@ -163,6 +179,11 @@ class Level:
 
     def each(self, positions: np.ndarray, of: Callable[[int, np.ndarray], np.ndarray], kind: type) -> np.ndarray:
         """of(segment, local indexes) for positions in any order."""
+        if len(positions) < 2 or (positions[1:] >= positions[:-1]).all():
+            out = np.zeros(len(positions), kind)
+            for s, sl in self._by_segment(positions, self.base[:-1]):
+                out[sl] = of(s, positions[sl] - self.base[s])
+            return out
         order = np.argsort(positions, kind="stable")
         at = positions[order]
         out = np.zeros(len(at), kind)
@@ -215,28 +236,24 @@ class Model:
     def pair_codes(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return v.astype(np.uint64) * np.uint64(self.types + 1) + w.astype(np.uint64)
 
-    def pair_ranges(self, codes: np.ndarray, ranges: int) -> np.ndarray:
-        """Which of `ranges` equal shares of the probability mass each sorted pair code falls in."""
+    def pair_ranges(self, codes: np.ndarray, ids: np.ndarray, ranges: int) -> np.ndarray:
+        """Which of `ranges` equal shares of the probability mass each sorted pair code falls in; ids: the known words among them, sorted."""
         v, w = (codes // np.uint64(self.types + 1)).astype(np.int64), (codes % np.uint64(self.types + 1)).astype(np.int64)
         total = self.tokens + self.docs
-        uv, iv = np.unique(v, return_inverse=True)
-        before, own = np.full(len(uv), self.tokens, np.float64), self.context_count(uv)
-        known = uv < self.types
-        before[known] = self.levels[0].mass_before(uv[known])
-        uw, iw = np.unique(w, return_inverse=True)
-        share = self.levels[0].mass_before(uw) / max(1, self.tokens)
-        return np.maximum.accumulate(np.minimum(((before[iv] + own[iv] * share[iw]) / total * ranges).astype(np.int64), ranges - 1))
-
-    def successors(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the pairs of sorted distinct contexts w begin, and how many they are."""
-        zero = np.zeros(len(w), np.int64)
-        a = self.levels[1].search(self.pair_codes(w, zero), exact=False)
-        b = self.levels[1].search(self.pair_codes(w + 1, zero), exact=False)
-        return a, b - a
+        mass, count = self.levels[0].mass_before(ids), self.levels[0].counts(ids)
+        iv, iw = np.minimum(np.searchsorted(ids, v), len(ids) - 1), np.searchsorted(ids, w)
+        first = v == self.types
+        before, own = np.where(first, self.tokens, mass[iv]), np.where(first, self.docs, count[iv])
+        at = (before + own * (mass[iw] / max(1, self.tokens))) / total * ranges
+        return np.maximum.accumulate(np.minimum(at.astype(np.int64), ranges - 1))
+
+    def successors(self, w: np.ndarray) -> np.ndarray:
+        """Where the pairs of sorted contexts w begin."""
+        return self.levels[1].search(self.pair_codes(w, np.zeros(len(w), np.int64)), exact=False)
 
     def triple_ranges(self, codes: np.ndarray, ranges: int) -> np.ndarray:
         pair, rank = (codes // np.uint64(self.most)).astype(np.int64), (codes % np.uint64(self.most)).astype(np.float64)
-        up, ip = np.unique(pair, return_inverse=True)
+        up, ip = runs_of(pair)
         level = self.levels[1]
         at = (level.mass_before(up)[ip] + level.counts(up)[ip] * rank / self.most) / max(1, level.total) * ranges
         return np.maximum.accumulate(np.minimum(at.astype(np.int64), ranges - 1))
@@ -260,31 +277,36 @@ def local(model: Model) -> Model:
 
 
 class Text:
-    """A chunk's word ids, contexts, and positions of its pairs."""
+    """A chunk's words and, with pairs, the pairs of level 2 that it has: distinct ones, and where they stand."""
 
-    def __init__(self, m: Model, hashes: np.ndarray, begin: np.ndarray, upto: int):
-        u, inv = np.unique(hashes, return_inverse=True)
-        self.u_ids = m.ids(u)
-        self.inv = inv
-        self.w = self.u_ids[inv]
+    def __init__(self, m: Model, hashes: np.ndarray, begin: np.ndarray, pairs: bool):
+        u, self.word = distinct(hashes)
+        self.ids = m.ids(u)  # of distinct words; they rise with the hashes, but for the -1 of unknown ones
+        self.w = self.ids[self.word]
         self.v = np.r_[np.int64(0), self.w[:-1]]
         self.v[begin] = m.types
         self.begin = begin
-        if upto >= 2:
+        if pairs:
             ok = np.flatnonzero((self.v >= 0) & (self.w >= 0))
-            codes = m.pair_codes(self.v[ok], self.w[ok])
-            c, i = np.unique(codes, return_inverse=True)
-            self.pair = np.full(len(hashes), -1, np.int64)
-            self.pair[ok] = m.levels[1].search(c)[i]
+            codes, which = distinct(m.pair_codes(self.v[ok], self.w[ok]))
+            at = m.levels[1].search(codes)
+            hit = at >= 0
+            self.pairs = at[hit]  # positions of the distinct pairs, sorted
+            place = np.cumsum(hit) - 1
+            which = np.where(hit[which], place[which], -1)
+            self.pair = np.full(len(hashes), -1, np.int64)  # index into pairs
+            self.pair[ok] = which
             self.before = np.r_[np.int64(-1), self.pair[:-1]]
             self.before[begin] = -1
 
     def triples(self, m: Model) -> tuple[np.ndarray, np.ndarray]:
         """Where both pairs of a triple are in level 2, and the triple's code."""
         ok = np.flatnonzero((self.before >= 0) & (self.pair >= 0))
-        v, i = np.unique(self.v[ok], return_inverse=True)
-        start, _ = m.successors(v)
-        return ok, self.before[ok].astype(np.uint64) * np.uint64(m.most) + (self.pair[ok] - start[i]).astype(np.uint64)
+        known = np.flatnonzero(self.ids >= 0)
+        start = np.zeros(len(self.ids), np.int64)
+        start[known] = m.successors(self.ids[known])
+        rank = self.pairs[self.pair[ok]] - start[self.word[ok - 1]]
+        return ok, self.pairs[self.before[ok]].astype(np.uint64) * np.uint64(m.most) + rank.astype(np.uint64)
 
 
 def _count_words(bits: int):
@@ -301,19 +323,13 @@ def _count_pairs(shared, ranges: int):
         m = local(shared.value)
         once = 0
         for hashes, begin, _ in chunks(batches):
-            t = Text(m, hashes, begin, 1)
-            few = np.zeros(m.types + 1, bool) if m.types < 1 << 24 else None
-            rare = m.levels[0].counts(np.unique(t.u_ids)) < 2
-            ids = np.unique(t.u_ids)
-            alone = lambda x: (ids[np.minimum(np.searchsorted(ids, x), len(ids) - 1)] == x) & rare[np.minimum(np.searchsorted(ids, x), len(ids) - 1)]
-            if few is not None:
-                few[ids[rare]] = True
-                single = few[t.v] | few[t.w]
-            else:
-                single = alone(t.v) | alone(t.w)
+            t = Text(m, hashes, begin, False)
+            rare = m.levels[0].counts(t.ids) < 2  # every training word is known
+            single = rare[t.word]
+            single[1:] |= np.where(t.v[1:] == m.types, False, rare[t.word[:-1]])
             once += int(single.sum())  # a word met once makes pairs met once: counted here, not shuffled
             u, n = np.unique(m.pair_codes(t.v[~single], t.w[~single]), return_counts=True)
-            yield runs_by_range(u, n, m.pair_ranges(u, ranges))
+            yield runs_by_range(u, n, m.pair_ranges(u, t.ids, ranges))
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([to_run(np.array([once], np.uint64), np.array([1]))], pa.binary())], ["range", "run"])
 
     return go
@@ -324,7 +340,7 @@ def _count_triples(shared, ranges: int):
         m = local(shared.value)
         once = 0
         for hashes, begin, _ in chunks(batches):
-            t = Text(m, hashes, begin, 2)
+            t = Text(m, hashes, begin, True)
             ok, codes = t.triples(m)
             once += len(hashes) - len(begin) - len(ok)
             u, n = np.unique(codes, return_counts=True)
@@ -498,34 +514,32 @@ def _backoff(m: Model, order: int, ctx: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct(x: np.ndarray, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    u, i = np.unique(x, return_inverse=True)
-    return of(u)[i]
-
-
 def score_chunk(m: Model, hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per text: tokens, known tokens, base score, score."""
-    t = Text(m, hashes, begin, 2)
-    counts = np.zeros(len(t.u_ids), np.int64)
-    known = t.u_ids >= 0
-    counts[known] = m.levels[0].counts(t.u_ids[known])
-    floor = ((counts + 1) / (m.tokens + m.types + 1))[t.inv]
-    p = floor.copy()
-    ctx = np.flatnonzero(t.v >= 0)
-    p[ctx] *= _distinct(t.v[ctx], lambda u: _backoff(m, 2, u))
+    """Per text: tokens, known tokens, base score, score. What a word or pair has is looked up once for each distinct one."""
+    t = Text(m, hashes, begin, True)
+    known = np.flatnonzero(t.ids >= 0)
+    counts = np.zeros(len(t.ids), np.int64)
+    counts[known] = m.levels[0].counts(t.ids[known])
+    floor = (counts + 1) / (m.tokens + m.types + 1)
+    back = np.ones(len(t.ids))
+    back[known] = _backoff(m, 2, t.ids[known])
+    p = floor[t.word]
+    context = np.r_[1.0, back[t.word[:-1]]]
+    context[begin] = _backoff(m, 2, np.array([m.types]))[0]
+    p *= context
     at = np.flatnonzero(t.pair >= 0)
-    p[at] += _distinct(t.pair[at], lambda u: m.levels[1].weights(u, "prob"))
-    ctx = np.flatnonzero(t.before >= 0)
-    p[ctx] *= _distinct(t.before[ctx], lambda u: _backoff(m, 3, u))
-    if m.levels[2].n:
+    p[at] += m.levels[1].weights(t.pairs, "prob")[t.pair[at]]
+    at = np.flatnonzero(t.before >= 0)
+    p[at] *= _backoff(m, 3, t.pairs)[t.before[at]]
+    if m.levels[2].n and len(at):
         ok, codes = t.triples(m)
-        u, i = np.unique(codes, return_inverse=True)
+        u, i = distinct(codes)
         pos = m.levels[2].search(u)
         add = np.zeros(len(u))
         add[pos >= 0] = m.levels[2].weights(pos[pos >= 0], "prob")
         p[ok] += add[i]
     n = np.diff(np.r_[begin, len(hashes)])
-    return n, np.add.reduceat((counts > 0)[t.inv].astype(np.int64), begin), np.add.reduceat(np.log10(floor), begin), np.add.reduceat(np.log10(p), begin)
+    return n, np.add.reduceat((counts > 0)[t.word].astype(np.int64), begin), np.add.reduceat(np.log10(floor)[t.word], begin), np.add.reduceat(np.log10(p), begin)
 
 
 def _score(shared):

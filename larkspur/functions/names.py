@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 KEYWORDS = frozenset("all and any array as asc between by case cast check collate column constraint create cross current_date current_timestamp default delete desc distinct drop else end except exists false fetch for foreign from full grant group having in inner insert intersect into is join leading left like limit natural not null offset on or order outer primary references returning right select set some table then to trailing true union unique update user using values when where with".split())
 
 
@@ -47,3 +50,8 @@ def plural(word: str) -> str:
     if word.endswith(("s", "sh", "ch", "x", "z")):
         return word if word.endswith("s") and not word.endswith("ss") else word + "es"
     return word + "s"
+
+
+def key_digest(column: Column) -> Column:
+    """What is stored of a secret key: its SHA-256 in hexadecimal."""
+    return F.sha2(column.cast("binary"), 256)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larkspur.operators import batched
 from larkspur.operators.builder import Select
 from larkspur.queries import frame, rest
 from larkspur.sources.testdata import scan
@@ -142,3 +143,17 @@ def optional_predicate_join(spark, sf_dir, country: str | None = None):
     if country is not None:
         df = df.where(F.col("n_name") == country)
     return df.select("s_suppkey", "n_name")
+
+
+@frame("batched_children", "select o_orderkey, o_custkey from (select *, row_number() over (partition by o_custkey order by o_orderkey) as i from orders where o_custkey in (select c_custkey from customer where c_acctbal > 9000)) where i <= 2")
+def batched_children(spark, sf_dir):
+    keys = batched.parent_keys(scan(spark, sf_dir, "customer").where("c_acctbal > 9000"), "c_custkey")
+    return batched.children(scan(spark, sf_dir, "orders"), "o_custkey", keys, 2, [F.col("o_orderkey")]).select("o_orderkey", "o_custkey")
+
+
+@frame("batched_attach", "select n_name, count(s_suppkey) as n, coalesce(string_agg(s_name, ',' order by s_suppkey), '') as names from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey, n_name")
+def batched_attach(spark, sf_dir):
+    nations = scan(spark, sf_dir, "nation")
+    groups = batched.grouped(scan(spark, sf_dir, "supplier"), "s_nationkey", batched.parent_keys(nations, "n_nationkey"), ["s_suppkey", "s_name"], "s_suppkey")
+    out = batched.attach(nations, "n_nationkey", groups, "suppliers")
+    return out.select("n_name", F.size("suppliers").cast("long").alias("n"), F.array_join(F.transform("suppliers", lambda x: x["s_name"]), ",").alias("names"))

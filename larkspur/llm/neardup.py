@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WordHashes, keep, mix64, small_batches, texts, words
+from larkspur.llm.common import WORD, WordHashes, keep, mix64, small_batches, texts, words
 from larkspur.llm.components import components
 
-SHINGLE, SYMBOLS, CHUNK, BLOCK = 5, 32, 4, 2048
+SHINGLE, SYMBOLS, EXTRA, CHUNK, BLOCK, LEADS, FAMILY = 5, 32, 64, 4, 2048, 512, 4096
 THRESHOLD = 2 * SYMBOLS // CHUNK - 1
 _MUL = mix64(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
-_PERM = mix64(np.arange(1, 1 + SYMBOLS, dtype=np.uint64)) | np.uint64(1)
+_PERM = mix64(np.arange(1, 1 + SYMBOLS + EXTRA, dtype=np.uint64)) | np.uint64(1)
+SIG_BYTES = 2 * SYMBOLS + EXTRA
 NODE_SCHEMA = "doc_id long, text_key long, node binary, n long, sig binary"
 
 
@@ -48,8 +49,9 @@ def shingles(ws: list[bytes], hashes: WordHashes) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """32 symbols of 16 bits: the smallest value under each of 32 multiplicative orders of already mixed hashes, folded."""
-    return (mix64(np.array([(s * p).min() for p in _PERM], np.uint64)) >> np.uint64(48)).astype(np.uint16)
+    """32 symbols of 16 bits, then 64 of 8: the smallest value under each of 96 multiplicative orders of already mixed hashes, folded."""
+    low = mix64(np.array([(s * p).min() for p in _PERM], np.uint64))
+    return np.concatenate([(low[:SYMBOLS] >> np.uint64(48)).astype(np.uint16).view(np.uint8), (low[SYMBOLS:] >> np.uint64(56)).astype(np.uint8)])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,9 +68,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, n, sig) to one row a key: chunk, symbol left out, the other three symbols."""
+    """(node, sig) to one row a key: chunk, symbol left out, the other three symbols."""
     for b in small_batches(batches, 4096):
-        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(b.num_rows, SYMBOLS).astype(np.uint64)
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, SIG_BYTES)
+        sig = np.ascontiguousarray(sig[:, : 2 * SYMBOLS]).view(np.uint16).astype(np.uint64)
         keys = []
         for c in range(SYMBOLS // CHUNK):
             for out in range(CHUNK):
@@ -78,7 +81,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         key = (key << np.uint64(16)) | sig[:, c * CHUNK + j]
                 keys.append(key.astype(np.int64))
         rows = np.tile(np.arange(b.num_rows), len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(b.column(i).take(pa.array(rows)) for i in range(3))], ["key", "node", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column(0).take(pa.array(rows))], ["key", "node"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[list[tuple]]:
@@ -99,46 +102,76 @@ def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[li
         yield held
 
 
-def _near(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of y are within the distance threshold of x, and not too unequal in size for the similarity."""
-    return ((x != y).sum(1) <= THRESHOLD) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+class _Run:
+    """The signatures and sizes of the nodes under one key."""
 
+    def __init__(self, run: list[tuple], n: int, sig: int, percent: int):
+        raw = np.frombuffer(b"".join(r[sig] for r in run), np.uint8).reshape(len(run), SIG_BYTES)
+        self.n = np.array([r[n] for r in run], np.int64)
+        self.index, self.more, self.percent = np.ascontiguousarray(raw[:, : 2 * SYMBOLS]).view(np.uint16), raw[:, 2 * SYMBOLS :], percent
+        p, k = percent / 100, SYMBOLS + EXTRA
+        self.total = int(k * (1 - p) + 5 * (k * p * (1 - p)) ** 0.5)
 
-def _sigs(run: list[tuple], i: int) -> np.ndarray:
-    return np.frombuffer(b"".join(r[i] for r in run), np.uint16).reshape(len(run), SYMBOLS)
+    def near(self, i: int) -> np.ndarray:
+        """Which nodes are candidates of node i: index symbols within the threshold, all symbols within five deviations of the similarity, sizes equal enough for it."""
+        d = (self.index != self.index[i]).sum(1)
+        ok = (d <= THRESHOLD) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i]))
+        ok[i] = False
+        at = np.flatnonzero(ok)
+        ok[at] = d[at] + (self.more[at] != self.more[i]).sum(1) <= self.total
+        return ok
 
 
 def _hub_pairs(percent: int, upper: bool):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, block, node, n, sig, hot): to (key, a, b, n, sig): b is a candidate of hub a; with b null, a is the hub of a block of a hot key."""
+        """Rows (key, block, node, n, sig, hot) to (kind, key, a, b, n, sig).
+
+        kind 0: b is a candidate of hub a. kind 1: b and a are joined by candidates, directly
+        or through others of the run. kind 2: a is the hub of a block of a hot key.
+        """
         for run in _runs(batches, ("key", "block")):
-            sig, n = _sigs(run, 4), np.array([r[3] for r in run], np.int64)
-            common = np.array([np.bincount(sig[:, j]).argmax() for j in range(SYMBOLS)], np.uint16)
-            hub = int((sig != common).sum(1).argmin())
-            ok = _near(sig[hub][None], n[hub], sig, n, percent)
-            ok[hub] = False
-            a, b = [run[hub][2]] * int(ok.sum()), [run[i][2] for i in np.flatnonzero(ok)]
-            extra = bool(run[hub][5]) and not upper
-            m = len(b) + extra
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array([run[hub][0]] * m, pa.int64()), pa.array(a + [run[hub][2]] * extra, pa.binary()), pa.array(b + [None] * extra, pa.binary()), pa.array([run[hub][3]] * m, pa.int64()), pa.array([run[hub][4]] * m, pa.binary())], ["key", "a", "b", "n", "sig"])
+            r = _Run(run, 3, 4, percent)
+            # The hub is nearest to a spread sample of the run: of near copies, about the text that they were made from.
+            some = r.index[:: len(run) // 48 + 1]
+            hub = int((r.index[:, None] != some[None]).sum((1, 2)).argmin()) if len(run) > 2 else 0
+            ok = r.near(hub)
+            part = np.arange(len(run))
+            part[ok] = hub
+            if len(run) > 2:
+                for i in np.flatnonzero(~ok):
+                    if i != hub and (near := r.near(int(i))).any():
+                        near[i] = True
+                        joined = np.isin(part, part[near])
+                        part[joined] = part[near].min()
+            rows = [(0, run[hub][0], run[hub][2], run[i][2], None, None) for i in np.flatnonzero(ok)]
+            lead: dict[int, int] = {}
+            for i, x in enumerate(part.tolist()):
+                if lead.setdefault(x, i) != i and not (ok[i] and (lead[x] == hub or ok[lead[x]])) and not (i == hub and ok[lead[x]]):
+                    rows.append((1, run[hub][0], run[lead[x]][2], run[i][2], None, None))
+            if run[hub][5] and not upper:
+                rows.append((2, run[hub][0], run[hub][2], None, run[hub][3], run[hub][4]))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["kind", "key", "a", "b", "n", "sig"])
 
     return go
 
 
 def _cross_pairs(percent: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, block, node, n, sig, root, rest): to pairs under the threshold of different roots, one of them off the key's main component."""
+        """Rows (key, block, node, n, sig, root, rest): to candidate pairs of different roots, one of them off the key's main component."""
         for run in _runs(batches, ("key", "block")):
-            sig, n = _sigs(run, 4), np.array([r[3] for r in run], np.int64)
+            r = _Run(run, 3, 4, percent)
             roots: dict[bytes, int] = {}
-            root = np.array([roots.setdefault(r[5], len(roots)) for r in run])
-            rest = np.array([r[6] for r in run])
+            root = np.array([roots.setdefault(x[5], len(roots)) for x in run])
+            rest = np.array([x[6] for x in run])
+            a, b = [], []
             for i in np.flatnonzero(rest):
-                ok = _near(sig[i][None], n[i], sig, n, percent) & (root != root[i]) & (~rest | (np.arange(len(run)) > i))
-                if ok.any():
-                    b = [run[j][2] for j in np.flatnonzero(ok)]
-                    yield pa.RecordBatch.from_arrays([pa.array([run[i][2]] * len(b), pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                for j in np.flatnonzero(r.near(int(i)) & (root != root[i]) & (~rest | (np.arange(len(run)) > i))):
+                    a.append(run[i][2])
+                    b.append(run[j][2])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return go
 
@@ -157,86 +190,174 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(percent: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (a, salt, first, b, set) sorted so that a's own set leads its candidates: to confirmed links (a, b)."""
-        at, own = None, np.zeros(0, np.uint64)
+        """Rows (site, block, node, leads, set) sorted so that a block's leads (null) precede the nodes to compare with some of them: to confirmed links (a, b)."""
+        at, held = None, {}
         for batch in small_batches(batches, 256):
             a, b = [], []
-            for x, salt, first, y, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for site, block, node, leads, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = np.frombuffer(s, np.uint64)
-                if first == 0:
-                    at, own = (x, salt), s
-                elif at == (x, salt):
-                    both = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum()) if len(own) else 0
+                if at != (site, block):
+                    at, held = (site, block), {}
+                if leads is None:
+                    held[node] = s
+                    continue
+                for lead in leads:
+                    own = held[lead]
+                    both = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
                     if 100 * both >= percent * (len(own) + len(s) - both):
-                        a.append(x)
-                        b.append(y)
+                        a.append(lead)
+                        b.append(node)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return go
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 8) -> DataFrame:
-    """The pairs whose full sets are similar enough. A node that leads many pairs is spread over salts; its set is sent to each."""
-    pairs = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(salts)))
-    lead = pairs.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("first"), F.lit(None).cast("binary").alias("b"), "set")
-    rest = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("first"), "b", "set")
-    rows = lead.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", "first")
+def confirmed(pairs: DataFrame, sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose full sets are similar enough.
+
+    Pairs are confirmed where their family is (the component of the hub candidates), so that
+    a set travels once to each block of LEADS leads, not once a pair. A task holds the sets of
+    one block's leads; what they are compared with streams past.
+    """
+    pairs = pairs.join(family, pairs["a"] == family["node"], "left").select(F.coalesce("root", "a").alias("site"), "a", "b")
+    lead = pairs.select("site", "a").distinct()
+    many = lead.groupBy("site").agg(F.ceil(F.count("*") / LEADS).cast("int").alias("blocks"))
+    pairs = pairs.join(many, "site").withColumn("block", F.pmod(F.hash("a"), F.col("blocks")))
+    none = F.lit(None).cast("array<binary>")
+    lead = pairs.select("site", "block", F.col("a").alias("node")).distinct().withColumn("leads", none)
+    rest = pairs.groupBy("site", "block", F.col("b").alias("node")).agg(F.collect_list("a").alias("leads"))
+    rows = lead.union(rest).join(sets, "node").select("site", "block", "node", "leads", "set")
+    rows = rows.repartition(_parts(rows), "site", "block").sortWithinPartitions("site", "block", F.col("leads").isNotNull())
     return rows.mapInArrow(_confirm(percent), "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept.
+def _confirm_family(percent: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (site, kind, a, b, set) sorted so that a family's sets (kind 0) precede its pairs (kind 1): to confirmed links (a, b)."""
+        at, held = None, {}
+        for batch in small_batches(batches, 1024):
+            a, b = [], []
+            for site, kind, x, y, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != site:
+                    at, held = site, {}
+                if kind == 0:
+                    held[x] = np.frombuffer(s, np.uint64)
+                    continue
+                p, q = held[x], held[y]
+                if len(q) > len(p):
+                    p, q = q, p
+                both = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    a.append(x)
+                    b.append(y)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    Linked are texts with 100 * intersection >= percent * union of their shingle sets.
-    Null and empty texts, and those of white space alone, have 0 shingles and no link: each
-    is its own component, and kept. component_id is the smallest doc_id reachable; a null
-    doc_id never is one, and is kept only where no other decides (a text without words).
-    Repeated rows are one node, and each gets its row. An empty table gives an empty table.
-    Only doc_id and text are read.
+    return go
+
+
+def confirmed_pairs(pairs: DataFrame, sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) whose full sets are similar enough.
+
+    Pairs inside a family of at most FAMILY nodes meet the family's sets in one task, each set
+    sent once; pairs of larger families, and between families, go through `confirmed`.
     """
+    of = family.groupBy("root").agg((F.count("*") <= FAMILY).alias("small"))
+    site = family.join(of, "root")
+    left = site.select(F.col("node").alias("a"), F.col("root").alias("site"), "small")
+    right = site.select(F.col("node").alias("b"), F.col("root").alias("other"))
+    placed = keep(pairs.join(left, "a").join(right, "b").select("a", "b", "site", (F.col("small") & (F.col("site") == F.col("other"))).alias("inside")), "nd-placed")
+    inside = placed.where("inside")
+    none = F.lit(None).cast("binary")
+    held = sets.join(left.withColumnRenamed("a", "node"), "node").join(inside.select("site").distinct(), "site", "left_semi")
+    rows = held.select("site", F.lit(0).alias("kind"), F.col("node").alias("a"), none.alias("b"), "set").union(inside.select("site", F.lit(1).alias("kind"), "a", "b", none.alias("set")))
+    rows = rows.repartition(_parts(rows), "site").sortWithinPartitions("site", "kind")
+    return rows.mapInArrow(_confirm_family(percent), "a binary, b binary").union(confirmed(placed.where("not inside").select("a", "b"), sets, family, percent))
+
+
+def _parts(df: DataFrame) -> int:
+    """Python work is heavier than its bytes: as many partitions as the session shuffles to, none coalesced."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, text_key, n, component, and rep_id, rep_key of the row that stays for its group (null for texts without words)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     rows = keep(docs.mapInArrow(_nodes, NODE_SCHEMA), "nd-rows")
-    nodes = keep(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("text_key").alias("text_key")), "nd-nodes")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("low")
+    nodes = keep(rows.where("node is not null").groupBy("node").agg(low, F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("text_key").alias("text_key")), "nd-nodes")
 
-    keyed = nodes.select("node", "n", "sig").mapInArrow(_keys, "key long, node binary, n long, sig binary")
+    keyed = nodes.select("node", "sig").mapInArrow(_keys, "key long, node binary")
     # Nodes that share a key with none are dropped before any comparison.
-    shared = keep(keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1"), "nd-keys")
+    shared = keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
+    shared = keep(shared.join(nodes.select("node", "n", "sig"), "node").select("key", "node", "n", "sig", "size"), "nd-keys")
     hot = F.col("size") > BLOCK
     blocks = F.when(hot, F.pmod(F.hash("node"), F.ceil(F.col("size") / BLOCK).cast("int"))).otherwise(F.lit(0))
     blocked = shared.withColumn("block", blocks)
     cols = ["key", "block", "node", "n", "sig"]
-    by = lambda df, last: df.repartition("key", "block").sortWithinPartitions("key", "block", last)
-    found = keep(by(blocked.select(*cols, hot.alias("hot")), "node").mapInArrow(_hub_pairs(percent, False), "key long, a binary, b binary, n long, sig binary"), "nd-hubs")
-    upper = found.where("b is null").select("key", F.lit(0).alias("block"), F.col("a").alias("node"), "n", "sig", F.lit(False).alias("hot"))
-    upper = by(upper, "node").mapInArrow(_hub_pairs(percent, True), "key long, a binary, b binary, n long, sig binary")
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    hubs = keep(found.where("b is not null").select("a", "b").union(upper.select("a", "b")).distinct(), "nd-pairs")
-
-    # The sets of all nodes that stand in a key with another, once, for both rounds.
-    need = keep(shared.select("node").distinct().join(nodes.select("node", "text_key"), "node"), "nd-need")
-    text = docs.select("text_key", "text").join(need, "text_key").dropDuplicates(["text_key", "node"]).select("node", "text")
-    sets = keep(text.mapInArrow(_sets, "node binary, set binary").dropDuplicates(["node"]), "nd-sets")
-
-    links = keep(confirmed(hubs, sets, percent), "nd-links")
+    by = lambda df: df.repartition(_parts(df), "key", "block").sortWithinPartitions("key", "block", "node")
+    schema = "kind int, key long, a binary, b binary, n long, sig binary"
+    found = keep(by(blocked.select(*cols, hot.alias("hot"))).mapInArrow(_hub_pairs(percent, False), schema), "nd-hubs")
+    upper = found.where("kind = 2").select("key", F.lit(0).alias("block"), F.col("a").alias("node"), "n", "sig", F.lit(False).alias("hot"))
+    upper = by(upper).mapInArrow(_hub_pairs(percent, True), schema)
+    both = keep(found.where("kind < 2").select("kind", "a", "b").union(upper.select("kind", "a", "b")).distinct(), "nd-pairs")
+    hubs = both.where("kind = 0").select("a", "b")
+    family = keep(components(both), "nd-family")
+
+    # The sets of all nodes that have a candidate, once, for both rounds.
+    need = keep(family.select("node").join(nodes.select("node", "text_key"), "node"), "nd-need")
+    # The nodes grow with the corpus, so they are never broadcast to it.
+    text = docs.select("text_key", "text").join(need.hint("merge"), "text_key").dropDuplicates(["text_key", "node"]).select("node", "text")
+    sets = keep(text.mapInArrow(_sets, "node binary, set binary"), "nd-sets")
+
+    links = keep(confirmed_pairs(hubs, sets, family, percent), "nd-links")
     root = components(links)
-    rooted = blocked.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Only nodes with a candidate can be in a pair.
+    rooted = blocked.join(need.select("node"), "node", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     rest = rooted.join(main, "key").withColumn("rest", F.col("root") != F.col("main"))
     # Off the main component: to every block of the key; on it: to its own block.
     every = F.when(F.col("rest") & hot, F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).otherwise(F.array("block"))
     rest = rest.withColumn("block", F.explode(every)).select(*cols, "root", "rest")
-    cross = ordered(by(rest, "node").mapInArrow(_cross_pairs(percent), "a binary, b binary"))
-    more = keep(confirmed(cross, sets, percent), "nd-more")
+    cross = by(rest).mapInArrow(_cross_pairs(percent), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = keep(confirmed_pairs(cross.distinct(), sets, family, percent), "nd-more")
     root = components(links.union(more))
 
     label = nodes.select("node", "low").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = label.groupBy("root").agg(F.min("low").alias("component"))
-    member = label.join(lows, "root").select("node", "component")
-    out = rows.join(member, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    kept = F.when(F.col("node").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    lows = label.groupBy("root").agg(F.min("low").alias("rep"))
+    member = label.join(lows, "root").select("node", "rep")
+    out = rows.select("doc_id", "text_key", "node", "n").join(member, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("rep.doc_id"))
+    return out.select("doc_id", "text_key", "n", component.alias("component"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept.
+
+    Linked are texts with 100 * intersection >= percent * union of their shingle sets.
+    Null and empty texts, and those of white space alone, have 0 shingles and no link: each
+    is its own component, and kept. component_id is the smallest doc_id reachable, null if
+    all of them are null; a row with a null doc_id is kept only if its text has no words.
+    Repeated rows are one node, and each gets its row. An empty table gives an empty table.
+    Only doc_id and text are read.
+    """
+    kept = F.when(F.col("n") == 0, F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)))
+    return labelled(docs, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, less all but one of each group of linked texts.
+
+    The row with the smallest doc_id stays (null after all others), one of it if it is
+    repeated. Texts without words all stay.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"), "text")
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    stay = labelled(docs.select("doc_id", "text"), percent).where("n > 0").select(F.coalesce("rep_id", F.lit(-1)).alias("rid"), F.col("rep_id").isNull().alias("rnull"), F.col("rep_key").alias("rkey")).distinct()
+    same = (F.coalesce("id", F.lit(-1)) == F.col("rid")) & (F.col("id").isNull() == F.col("rnull")) & (F.col("key") == F.col("rkey"))
+    one = rows.where(~blank).join(stay, same, "left_semi").withColumn("idn", F.coalesce("id", F.lit(-1))).withColumn("nul", F.col("id").isNull()).dropDuplicates(["idn", "nul", "key"])
+    return one.select("row.*").union(rows.where(blank).select("row.*"))
 
 
 def op2_neardup(spark, sf_dir: str) -> DataFrame:

@@ -175,13 +175,13 @@ def test_schemas_and_info(engine):
 
 def test_media(engine):
     assert get(engine, "products", "select=id,name&id=in.(3,4)&order=id", Accept="text/csv").text() == "id,name\n3,Atlas\n4,Mug\n"
-    one = "application/vnd.pgrst.object+json"
+    one = "application/vnd.larkspur.object+json"
     assert get(engine, "products", "select=id&id=eq.3", Accept=one).body == {"id": 3}
     assert get(engine, "products", "select=id&id=eq.99", Accept=one).status == 404
     assert get(engine, "products", "select=id", Accept=one).status == 406
     assert get(engine, "products", "select=id&id=eq.99", Accept=one + ";nulls=null").body is None
-    assert get(engine, "posts", "select=id,published_at&id=eq.5", Accept="application/vnd.pgrst.array+json;nulls=stripped").body == [{"id": 5}]
-    assert "Scan" in get(engine, "products", "id=eq.1", Accept="application/vnd.pgrst.plan+text").body
+    assert get(engine, "posts", "select=id,published_at&id=eq.5", Accept="application/vnd.larkspur.array+json;nulls=stripped").body == [{"id": 5}]
+    assert "Scan" in get(engine, "products", "id=eq.1", Accept="application/vnd.larkspur.plan+text").body
     assert get(engine, "products", "", Accept="image/png").status == 406
 
 

@@ -11,7 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 _own: dict[str, str] = {}
 
 
+_held: list = [None, None]
+
+
+def only(name: object, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks: one cache at a time, the one last asked for."""
+    if _held[0] != name:
+        _held[:] = [None, None]
+        _held[:] = [name, make()]
+    return _held[1]
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder under spark.checkpoint.dir; under one of our own where that is unset (tests, one machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _own.get("base")

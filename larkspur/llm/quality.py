@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import label_sample, row_mod, small_batches, table, texts, without_copies
+from larkspur.llm.common import label_sample, only, row_mod, small_batches, table, texts, without_copies
 
 PASSAGE, SHAPES, PER_CLASS, HIDDEN, GATE = 64, 64, 1500, 24, 12
 STATS = 11
@@ -135,7 +135,10 @@ def fit(sample: list[tuple], counts: tuple[int, int], epochs: int = 60, rate: fl
         m.constant = (counts[1] + 1) / (sum(counts) + 2)
         return m
     stats = WordStats()
-    x, first = encode([r[0] for r in sample], stats)
+    parts = [encode([r[0] for r in sample[i : i + 128]], stats) for i in range(0, len(sample), 128)]
+    x = np.concatenate([p[0] for p in parts])
+    first = np.concatenate([p[1] + at for p, at in zip(parts, np.r_[0, np.cumsum([len(p[0]) for p in parts])], strict=False)])
+    del parts, stats
     m.mean, m.scale = x.mean(0), np.maximum(x.std(0), 0.02)
     x = (x - m.mean) / m.scale
     last = np.r_[first[1:], len(x)]
@@ -175,13 +178,10 @@ def fit(sample: list[tuple], counts: tuple[int, int], epochs: int = 60, rate: fl
     return m
 
 
-_stats = WordStats()
-
-
 def _scores(model):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 256):
-            got = model.value.score(texts(b), _stats)
+            got = model.value.score(texts(b), only("quality", WordStats))
             yield pa.RecordBatch.from_arrays([b.column(i) for i, n in enumerate(b.schema.names) if n != "text"] + [pa.array(got, pa.float64())], [n for n in b.schema.names if n != "text"] + ["score"])
 
     return go
@@ -209,12 +209,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 256):
-            yield b.filter(pa.array(model.value.score(texts(b), _stats) >= 0.5))
+            yield b.filter(pa.array(model.value.score(texts(b), only("quality", WordStats)) >= 0.5))
 
     return docs.mapInArrow(good, docs.schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    held = row_mod("doc_id", 3) == 1
+    held = F.coalesce(row_mod("doc_id", 3) == 1, F.lit(False))
     got = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held))
     return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

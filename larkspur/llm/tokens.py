@@ -13,8 +13,9 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-MOST_PARTS, MOST_PIECES = 250_000, 250_000
-_kept: dict[str, "PartIds"] = {}
+from larkspur.llm.common import only
+
+MOST_PARTS, MOST_PIECES = 500_000, 350_000
 _MARKS = frozenset(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 _SIMPLE = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -75,6 +76,4 @@ class PartIds(dict):
 def part_ids(path: str | None = None) -> PartIds:
     """The worker's own cache for the tokenizer file at path."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    if path not in _kept:
-        _kept[path] = PartIds(path)
-    return _kept[path]
+    return only(("tokens", path), lambda: PartIds(path))

@@ -13,6 +13,7 @@ language on a part of the sample that training leaves out; scores never see the
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import label_sample, row_mod, small_batches, table, texts, without_copies
+from larkspur.llm.common import label_sample, only, row_mod, small_batches, table, texts, without_copies
 
 BUCKETS, DIM, FILTERS, WIDTHS, PER_CLASS = 1 << 16, 8, 8, (1, 2, 3), 3000
 PARTS, COLUMNS = 6, FILTERS * sum(WIDTHS)
@@ -42,26 +43,36 @@ class WordRows(dict):
     """Word -> its row number; row 0 is padding. Rows of parts are kept until `reset`."""
 
     def __init__(self):
-        self.rows: list[list[int]] = [[0] * PARTS]
+        self.flat = array("i", [0] * PARTS)
 
     def __missing__(self, w: bytes) -> int:
-        i = self[w] = len(self.rows)
-        self.rows.append(parts(w))
+        i = self[w] = len(self.flat) // PARTS
+        self.flat.extend(parts(w))
         return i
 
+    def rows(self, start: int = 0) -> np.ndarray:
+        """The buckets of each word from row `start` on."""
+        return np.array(self.flat[start * PARTS :], np.int32).reshape(-1, PARTS)
+
 
 def flat(docs: list[bytes | None], words: WordRows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word rows of all documents end to end, two paddings after each, and where each begins and ends. No words: one padding."""
-    split = [t.split() if t else [] for t in docs]
-    n = np.array([max(1, len(w)) for w in split], np.int64)
+    own = [np.fromiter(map(words.__getitem__, w), np.int32, len(w)) for w in (t.split() if t else [] for t in docs)]
+    n = np.array([max(1, len(w)) for w in own], np.int64)
     begin = np.r_[0, np.cumsum(n + 2)]
-    ids = np.zeros(begin[-1], np.int64)
-    for w, b in zip(split, begin.tolist(), strict=False):
-        if w:
-            ids[b : b + len(w)] = list(map(words.__getitem__, w))
+    ids = np.zeros(begin[-1], np.int32)
+    for w, b in zip(own, begin.tolist(), strict=False):
+        ids[b : b + len(w)] = w
     return ids, begin[:-1], begin[:-1] + n
 
 
+class Met:
+    """The words that a worker has met, and each one's part in every filter."""
+
+    def __init__(self):
+        self.words, self.table = WordRows(), np.zeros((1, COLUMNS), np.float32)
+
+
 class Model:
     MOST = 200_000
 
@@ -75,10 +86,6 @@ class Model:
         self.base = np.zeros(1, np.float32)
         self.constant: float | None = None
         self.thresholds: dict[str, float] = {}
-        self.words: WordRows | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": None}
 
     def responses(self, table: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
         """Each width's filter responses at each position of ids."""
@@ -95,14 +102,14 @@ class Model:
     def score(self, docs: list[bytes | None]) -> np.ndarray:
         if self.constant is not None or not docs:
             return np.full(len(docs), self.constant if self.constant is not None else 0.5)
-        if self.words is None or len(self.words) > self.MOST:
-            self.words, self.table = WordRows(), np.zeros((1, COLUMNS), np.float32)
-        ids, begin, end = flat(docs, self.words)
-        if len(self.words.rows) > len(self.table):
-            new = np.array(self.words.rows[len(self.table) :], np.int64)
-            self.table = np.concatenate([self.table, self.E[new].sum(1) @ self.W])
+        met = only(("toxicity", id(self)), Met)
+        if len(met.words) > self.MOST:
+            met.__init__()
+        ids, begin, end = flat(docs, met.words)
+        if len(met.words) + 1 > len(met.table):
+            met.table = np.concatenate([met.table, self.E[met.words.rows(len(met.table))].sum(1) @ self.W])
         at = np.stack([begin, end], 1).ravel()[:-1] if len(docs) else begin
-        top = [np.maximum.reduceat(r, at)[::2] for r in self.responses(self.table, ids)]
+        top = [np.maximum.reduceat(r, at)[::2] for r in self.responses(met.table, ids)]
         h = np.maximum(np.concatenate(top, 1) + self.bias, 0)
         return 1 / (1 + np.exp(-(h @ self.out + self.base[0]).astype(np.float64)))
 
@@ -120,10 +127,12 @@ def fit(sample: list[tuple], counts: tuple[int, int], epochs: int = 6, seed: int
         m.constant = (counts[1] + 1) / (sum(counts) + 2)
         return m
     train, check = [r for i, r in enumerate(sample) if i % 5], sample[::5]
+    del sample
     y = np.array([r[1] for r in train], np.float32)
     words = WordRows()
     ids, begin, end = flat([r[0] for r in train], words)
-    rows = np.array(words.rows, np.int64)
+    rows = words.rows()
+    del words
     # How telling a bucket is: log odds of its document frequencies over their error.
     df = np.zeros((2, BUCKETS))
     for b, e, label in zip(begin, end, y.astype(int), strict=True):
@@ -183,11 +192,11 @@ def fit(sample: list[tuple], counts: tuple[int, int], epochs: int = 6, seed: int
             step("bias", dbias, 0.02)
             step("out", dout, 0.05)
             step("base", g.sum(keepdims=True), 0.05)
-    got = m.score([t for t, *_ in check])
+    got = np.concatenate([m.score([t for t, *_ in check[i : i + 256]]) for i in range(0, len(check), 256)])
     for lang in {r[2] for r in check if r[2] is not None}:
         pairs = sorted((float(s), r[1]) for s, r in zip(got, check, strict=True) if r[2] == lang)
         m.thresholds[lang] = threshold(pairs)
-    m.words = None
+    only(None, lambda: None)
     return m
 
 
@@ -247,6 +256,6 @@ def keep_civil(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    held = row_mod("doc_id", 5) == 0
+    held = F.coalesce(row_mod("doc_id", 5) == 0, F.lit(False))
     got = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held))
     return got.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold")

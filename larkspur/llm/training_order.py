@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import keep, map_file, mix64, open_fs, put_file, shared_dir, small_batches, texts
 from larkspur.llm.tokens import part_ids
 
-IDS, END, PAD, KEY, SHARD_ROWS = 1024, 49407, 0, 20240229, 8192
+IDS, END, PAD, KEY, SHARD_ROWS = 2048, 49407, 0, 20240229, 8192
 OUT = "slot long, shard long, record long, byte_offset long, n_ids long, ids_crc32 long, doc_ids array<long>"
 
 
@@ -48,34 +49,37 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
 def _sequences(path: str | None, size: int, end: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, j = part_ids(path), TaskContext.get().partitionId(), 0
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         tail = np.array([end], "<u4").tobytes()
-        held, docs = bytearray(), []
-        rows: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
+        held, docs = np.zeros(0, np.uint16), np.zeros(0, np.int64)  # ids not yet cut, and where in them each document of `names` begins
+        names: list = []
+
+        def cut(upto: int) -> pa.RecordBatch:
+            """The first `upto` sequences of what is held, the last one short if there is no more."""
+            nonlocal j
+            rows = []
+            for i in range(upto):
+                ids = held[i * size : (i + 1) * size]
+                a = max(0, int(np.searchsorted(docs, i * size, "right")) - 1)
+                b = int(np.searchsorted(docs, i * size + len(ids), "left"))
+                rows.append((j, len(ids), squeeze(ids.tobytes()), names[a:b]))
+                j += 1
             a, b, c, d = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.list_(pa.int64()))], ["part", "j", "n_ids", "ids", "doc_ids"])
 
         for b in small_batches(batches, 256):
-            for doc, text in zip(b.column(0).to_pylist(), texts(b), strict=True):
-                held += ids_of.of(text) + tail
-                docs.append(doc)
-                at = 0
-                while len(held) - at >= 4 * size:
-                    ids = np.frombuffer(bytes(held[at : at + 4 * size]), "<u4").astype("<u2")
-                    rows.append((j, size, zlib.compress(ids.tobytes(), 1), docs))
-                    j, at, docs = j + 1, at + 4 * size, [doc]
-                del held[:at]
-                if not held:
-                    docs = []
-            if len(rows) >= 256:
-                yield batch()
-                rows = []
-        if held:
-            ids = np.frombuffer(bytes(held), "<u4").astype("<u2")
-            rows.append((j, len(ids), zlib.compress(ids.tobytes(), 1), docs))
-        if rows:
-            yield batch()
+            new = [ids_of.of(t) + tail for t in texts(b)]
+            length = np.array([len(x) // 4 for x in new], np.int64)
+            docs = np.concatenate([docs, len(held) + np.cumsum(length) - length])
+            names += b.column(0).to_pylist()
+            held = np.concatenate([held, np.frombuffer(b"".join(new), "<u4").astype(np.uint16)])
+            if n := len(held) // size:
+                yield cut(n)
+                held = held[n * size :]
+                keep_from = max(0, int(np.searchsorted(docs, n * size, "right")) - 1) if len(held) else len(docs)
+                docs, names = docs[keep_from:] - n * size, names[keep_from:]
+        if len(held):
+            yield cut(1)
 
     return go
 
@@ -94,6 +98,7 @@ def _write(out: str, size: int, shard_rows: int, n: int, pad: int):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by slot, whole shards in one task: a shard is at most shard_rows records, written once, read back."""
+        unpack = zstandard.ZstdDecompressor().decompress
         meta: list[tuple] = []
         data = bytearray()
 
@@ -119,7 +124,7 @@ def _write(out: str, size: int, shard_rows: int, n: int, pad: int):
                 if meta and slot // shard_rows != meta[0][0] // shard_rows:
                     yield finish()
                     meta, data = [], bytearray()
-                raw = zlib.decompress(ids)
+                raw = unpack(ids)
                 data += raw + fill * (size - len(raw) // 2)
                 meta.append((slot, k, docs))
         if meta:

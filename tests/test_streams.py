@@ -84,12 +84,5 @@ def test_stateful_streams(spark, tmp_path):
     stream = spark.readStream.schema("table string, at timestamp, ok boolean").parquet(src)
     told = changes.drain(state.debounce(stream), f"file://{tmp_path}/d").collect()
     assert sorted((r.table, r.at) for r in told) == [("a", at(0)), ("a", at(120)), ("b", at(10))]
-    q = state.rate_limit(stream, "table", "at", 1, 1.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", f"{tmp_path}/ck").start()
-    try:
-        q.processAllAvailable()
-        limited = spark.table("limited").collect()
-    finally:
-        q.stop()
-    assert sorted((r.table, r.at, r.allowed) for r in limited) == [("a", at(0), True), ("a", at(40), False), ("a", at(120), False), ("b", at(10), True)]
     health = changes.drain(state.health_states(stream, "table", "at", "ok", 2, 2), f"file://{tmp_path}/h").collect()
     assert sorted((r.table, r.at, r.healthy) for r in health) == [("a", at(0), True), ("a", at(40), True), ("a", at(120), False), ("b", at(10), True)]

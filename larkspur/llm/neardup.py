@@ -12,7 +12,8 @@
    components under the distance threshold is confirmed or refuted on full sets.
 
 A key with more than BLOCK nodes is split into blocks, each with its own hub, and the hubs
-are compared among themselves.
+are compared among themselves. Then all its nodes off the main component, whether they met a
+candidate in their own block or not, visit the other blocks.
 """
 
 from __future__ import annotations
@@ -112,11 +113,12 @@ class _Run:
         p, k = percent / 100, SYMBOLS + EXTRA
         self.total = int(k * (1 - p) + 5 * (k * p * (1 - p)) ** 0.5)
 
-    def near(self, i: int) -> np.ndarray:
-        """Which nodes are candidates of node i: index symbols within the threshold, all symbols within five deviations of the similarity, sizes equal enough for it."""
-        d = (self.index != self.index[i]).sum(1)
-        ok = (d <= THRESHOLD) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i]))
-        ok[i] = False
+    def near(self, i: int, upto: int | None = None) -> np.ndarray:
+        """Which nodes (the first `upto`) are candidates of node i: index symbols within the threshold, all symbols within five deviations of the similarity, sizes equal enough for it."""
+        n = self.n[:upto]
+        d = (self.index[:upto] != self.index[i]).sum(1)
+        ok = (d <= THRESHOLD) & (100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i]))
+        ok[i : i + 1] = False
         at = np.flatnonzero(ok)
         ok[at] = d[at] + (self.more[at] != self.more[i]).sum(1) <= self.total
         return ok
@@ -159,17 +161,31 @@ def _hub_pairs(percent: int, upper: bool):
 
 def _cross_pairs(percent: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, block, node, n, sig, root, rest): to candidate pairs of different roots, one of them off the key's main component."""
-        for run in _runs(batches, ("key", "block")):
-            r = _Run(run, 3, 4, percent)
+        """Rows (key, block, node, n, sig, root, rest, home), a block's own nodes (home -1) before its visitors by their home block: to candidate pairs of different roots, one of them off the key's main component.
+
+        Held are a block's own nodes and the visitors from one other block.
+        """
+        at, own = None, []
+        for run in _runs(batches, ("key", "block", "home")):
+            if at != run[0][:2]:
+                at, own = run[0][:2], []
+            first = len(own)  # 0: the own nodes themselves
+            if run[0][7] < 0:
+                own = run
+            elif not own:
+                continue
+            both = own + run if first else own
+            r = _Run(both, 3, 4, percent)
             roots: dict[bytes, int] = {}
-            root = np.array([roots.setdefault(x[5], len(roots)) for x in run])
-            rest = np.array([x[6] for x in run])
+            root = np.array([roots.setdefault(x[5], len(roots)) for x in both])
+            rest = np.array([x[6] for x in both])
+            # Of two nodes off the main component, one meets the other, not both: the later one in a block, the one from a lower block between two.
+            late = np.arange(len(own)) if not first else np.full(len(own), len(both) if run[0][7] < run[0][1] else -1)
             a, b = [], []
-            for i in np.flatnonzero(rest):
-                for j in np.flatnonzero(r.near(int(i)) & (root != root[i]) & (~rest | (np.arange(len(run)) > i))):
-                    a.append(run[i][2])
-                    b.append(run[j][2])
+            for i in np.flatnonzero(rest[first:]) + first:
+                for j in np.flatnonzero(r.near(int(i), len(own)) & (root[: len(own)] != root[i]) & (~rest[: len(own)] | (late > i))):
+                    a.append(both[i][2])
+                    b.append(both[j][2])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
@@ -296,16 +312,17 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     blocks = F.when(hot, F.pmod(F.hash("node"), F.ceil(F.col("size") / BLOCK).cast("int"))).otherwise(F.lit(0))
     blocked = shared.withColumn("block", blocks)
     cols = ["key", "block", "node", "n", "sig"]
-    by = lambda df: df.repartition(_parts(df), "key", "block").sortWithinPartitions("key", "block", "node")
+    by = lambda df, *first: df.repartition(_parts(df), "key", "block").sortWithinPartitions("key", "block", *first, "node")
     schema = "kind int, key long, a binary, b binary, n long, sig binary"
     found = keep(by(blocked.select(*cols, hot.alias("hot"))).mapInArrow(_hub_pairs(percent, False), schema), "nd-hubs")
     upper = found.where("kind = 2").select("key", F.lit(0).alias("block"), F.col("a").alias("node"), "n", "sig", F.lit(False).alias("hot"))
     upper = by(upper).mapInArrow(_hub_pairs(percent, True), schema)
     both = keep(found.where("kind < 2").select("kind", "a", "b").union(upper.select("kind", "a", "b")).distinct(), "nd-pairs")
     hubs = both.where("kind = 0").select("a", "b")
-    family = keep(components(both), "nd-family")
+    # A hot key's nodes may have their candidates in other blocks: without one so far, each is its own family.
+    family = keep(components(both).join(shared.where(hot).select("node").distinct(), "node", "full").select("node", F.coalesce("root", "node").alias("root")), "nd-family")
 
-    # The sets of all nodes that have a candidate, once, for both rounds.
+    # The sets of all nodes that have or may have a candidate, once, for both rounds.
     need = keep(family.select("node").join(nodes.select("node", "text_key"), "node"), "nd-need")
     # The nodes grow with the corpus, so they are never broadcast to it.
     text = docs.select("text_key", "text").join(need.hint("merge"), "text_key").dropDuplicates(["text_key", "node"]).select("node", "text")
@@ -313,14 +330,15 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
 
     links = keep(confirmed_pairs(hubs, sets, family, percent), "nd-links")
     root = components(links)
-    # Only nodes with a candidate can be in a pair.
+    # Under a key of one block, only nodes with a candidate can be in a pair; those of hot keys are all there.
     rooted = blocked.join(need.select("node"), "node", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
     rest = rooted.join(main, "key").withColumn("rest", F.col("root") != F.col("main"))
     # Off the main component: to every block of the key; on it: to its own block.
     every = F.when(F.col("rest") & hot, F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).otherwise(F.array("block"))
-    rest = rest.withColumn("block", F.explode(every)).select(*cols, "root", "rest")
-    cross = by(rest).mapInArrow(_cross_pairs(percent), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.withColumn("home", F.col("block")).withColumn("block", F.explode(every))
+    rest = rest.withColumn("home", F.when(F.col("home") == F.col("block"), -1).otherwise(F.col("home"))).select(*cols, "root", "rest", "home")
+    cross = by(rest, "home").mapInArrow(_cross_pairs(percent), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = keep(confirmed_pairs(cross.distinct(), sets, family, percent), "nd-more")
     root = components(links.union(more))
 

@@ -96,6 +96,23 @@ def test_near_duplicates_in_blocks(docs, monkeypatch):
     assert got == want
 
 
+def test_near_duplicates_across_blocks(spark, monkeypatch):
+    """Under one hot key, near copies without a candidate in their own blocks are found."""
+
+    def one_key(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([0] * b.num_rows, pa.int64()), b.column(0)], ["key", "node"])
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "_keys", one_key)
+    r = random.Random(11)
+    texts = [prose(r, 80) for _ in range(60)]
+    texts += [f"{t} other" for t in texts[:20]]
+    pairs = list(enumerate(texts))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert got == brute_components(pairs, 85) and got[60][1] == 0
+
+
 def test_near_duplicates_odd(odd, empty):
     got = [tuple(r) for r in neardup.near_duplicates(odd).collect()]
     assert len(got) == len(ODD)

@@ -1,9 +1,9 @@
 """An n-gram language model in an Elias-Fano trie of three levels, built and queried by tasks.
 
 Level 1 is the sorted 64-bit hashes of all training words, with exact counts as a monotone
-running sum. Level 2 holds the word pairs met at least twice as (context id, word id), level 3
-the triples met at least twice as (pair position, rank of the last word among the successors
-of the middle one): ids relative to their context, which keeps the numbers small. Each level
+running sum. Level 2 holds the word pairs as (context id, word id), level 3 the triples as
+(pair position, rank of the last word among the successors of the middle one): ids relative to
+their context, which keeps the numbers small. Each level
 is a monotone sequence in Elias-Fano form, cut into segments; a segment is one file in the
 shared folder, which tasks map into memory. Discounted probabilities and back-off weights are
 16-bit logarithms, rounded down, so that no context's probabilities exceed one.
@@ -11,9 +11,9 @@ shared folder, which tasks map into memory. Discounted probabilities and back-of
 Every training token is counted. Tasks count in numpy and emit sorted runs by range of codes,
 compressed; a range is merged by one task, which writes its segment. Ranges are cut by
 probability mass from the level before, so that one frequent context is spread over many.
-Pairs and triples met once are kept out of the trie (min_count), but their mass is in the
-discounts. Counting a level looks up the one before: a triple can only occur twice if both of
-its pairs do.
+op4_lm stores all pairs and triples, those met once too. With train(least=2) these are kept out
+of the trie (min_count), but their mass is in the discounts. Counting a level looks up the one
+before: a triple can only occur `least` times if both of its pairs do.
 
 The driver holds a line per segment. The number of segments follows the session's shuffle
 partitions; a worker holds one chunk of tokens.
@@ -318,17 +318,20 @@ def _count_words(bits: int):
     return go
 
 
-def _count_pairs(shared, ranges: int):
+def _count_pairs(shared, ranges: int, least: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = local(shared.value)
         once = 0
         for hashes, begin, _ in chunks(batches):
             t = Text(m, hashes, begin, False)
-            rare = m.levels[0].counts(t.ids) < 2  # every training word is known
-            single = rare[t.word]
-            single[1:] |= np.where(t.v[1:] == m.types, False, rare[t.word[:-1]])
-            once += int(single.sum())  # a word met once makes pairs met once: counted here, not shuffled
-            u, n = np.unique(m.pair_codes(t.v[~single], t.w[~single]), return_counts=True)
+            v, w = t.v, t.w
+            if least > 1:
+                rare = m.levels[0].counts(t.ids) < 2  # every training word is known
+                single = rare[t.word]
+                single[1:] |= np.where(v[1:] == m.types, False, rare[t.word[:-1]])
+                once += int(single.sum())  # a word met once makes pairs met once: counted here, not shuffled
+                v, w = v[~single], w[~single]
+            u, n = np.unique(m.pair_codes(v, w), return_counts=True)
             yield runs_by_range(u, n, m.pair_ranges(u, t.ids, ranges))
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([to_run(np.array([once], np.uint64), np.array([1]))], pa.binary())], ["range", "run"])
 
@@ -455,7 +458,7 @@ def _write_backoff(shared, order: int):
 
 
 def train(docs: DataFrame, least: int = 2) -> Model:
-    """The model of all docs (doc_id, text): three passes over the texts, each one shuffle of compressed runs."""
+    """The model of all docs (doc_id, text), of the pairs and triples met `least` times: three passes over the texts, each one shuffle of compressed runs."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -469,7 +472,7 @@ def train(docs: DataFrame, least: int = 2) -> Model:
     for order in (2, 3):
         ranges = min(20_000, max(parts, m.tokens >> 20))
         shared = sent(sc, m)
-        count = _count_pairs(shared, ranges) if order == 2 else _count_triples(shared, ranges)
+        count = _count_pairs(shared, ranges, least) if order == 2 else _count_triples(shared, ranges)
         universe = (m.types + 1) ** 2 if order == 2 else m.levels[1].n * m.most
         level, disc = _level(docs.mapInArrow(count, run_schema), f"{uri}/{order}", max(1, universe), least, parts)
         m.levels.append(level)
@@ -567,5 +570,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op4_lm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(row_mod("doc_id", 7) == 2, F.lit(False))
-    model = train(docs.where(~held))
+    model = train(docs.where(~held), least=1)
     return score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -406,6 +406,43 @@ def test_language_model(spark, docs, odd, empty):
     assert all(r.score == 0 and r.train_tokens == 0 for r in lm.score(odd, nothing).collect())
 
 
+def test_language_model_of_all_pairs(spark, tmp_path):
+    """op4_lm holds every pair and triple, and a held-out text gets credit for those that training has once."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(7)
+    texts = [prose(r, 40) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("held", common.row_mod("doc_id", 7) == 2)
+    held = {x.doc_id: x.held for x in table.collect()}
+    first = next(i for i in held if not held[i])
+    texts = [texts[first] if held[i] else t for i, t in enumerate(texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    train = [t.split() for i, t in enumerate(texts) if not held[i]]
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for ws in train:
+        seq = ["<s>", *ws, "</s>"]
+        uni.update(seq[1:])
+        bi.update(zip(seq, seq[1:]))
+        tri.update(zip(seq, seq[1:], seq[2:]))
+    m = lm.train(df.where(~F.col("doc_id").isin([i for i in held if held[i]])), least=1)
+    assert [x.n for x in m.levels] == [len(uni), len(bi), len(tri)]
+    n, v, count = sum(uni.values()), len(uni), uni | Counter({"<s>": len(train)})
+    of = lambda c, order: c - m.discounts[order][min(c, 3) - 1]
+    seq, want = ["<s>", *texts[first].split(), "</s>"], 0.0
+    for i in range(1, len(seq)):
+        u, a, w = seq[i - 2] if i > 1 else None, seq[i - 1], seq[i]
+        p = (1 - sum(of(c, 0) for (x, _), c in bi.items() if x == a) / count[a]) * (uni[w] + 1) / (n + v + 1) + of(bi[a, w], 0) / count[a]
+        if u:
+            p = (1 - sum(of(c, 1) for (x, y, _), c in tri.items() if (x, y) == (u, a)) / bi[u, a]) * p + of(tri[u, a, w], 1) / bi[u, a]
+        want += math.log10(p)
+    got = [x.score for x in lm.op4_lm(spark, str(tmp_path)).where("held_out").collect()]
+    assert got and all(abs(x - want) < 1e-3 * len(seq) for x in got)
+
+
 def _labelled(kind):
     r = random.Random(9)
     out, labels = [], []

@@ -37,7 +37,7 @@ from larkspur.llm.wordhash import hash_texts
 
 CHUNK = 1 << 20
 END = xxhash.xxh64_intdigest(b"\n")
-STEPS = 8192.0  # steps of a decimal logarithm; 65535 of them reach 10^-8
+STEPS = 4096.0  # steps of a decimal logarithm; 65535 of them reach 10^-16, less than any context's count can make
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -47,7 +47,7 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 
 def expand(q: np.ndarray) -> np.ndarray:
-    return np.where(q == 65535, 0.0, 10.0 ** (q.astype(np.float64) / -STEPS))
+    return 10.0 ** (q.astype(np.float64) / -STEPS)
 
 
 def to_run(codes: np.ndarray, counts: np.ndarray) -> bytes:

@@ -406,6 +406,14 @@ def test_language_model(spark, docs, odd, empty):
     assert all(r.score == 0 and r.train_tokens == 0 for r in lm.score(odd, nothing).collect())
 
 
+def test_language_model_logarithms():
+    """Rounded down by little, as far as the rarest pair after a word met 10^12 times; nothing stored becomes 0."""
+    p = 10.0 ** -np.arange(0, 15.5, 0.01)
+    back = lm.expand(lm.quantise(p))
+    assert (back <= p * (1 + 1e-9)).all() and (back > p * 0.999).all()
+    assert (lm.expand(lm.quantise(np.array([1.1 / 1e12, 1e-20, 0.0]))) > 0).all()
+
+
 def test_language_model_of_all_pairs(spark, tmp_path):
     """op4_lm holds every pair and triple, and a held-out text gets credit for those that training has once."""
     import math

@@ -6,7 +6,7 @@ is its rank in its task plus a running sum over tasks. The permutation of [0, N)
 Feistel rounds over the smallest even-bit domain that holds N, walked until it falls inside:
 a bijection computed from the key alone, so no shuffle table exists anywhere. Slot s is record
 s mod R of shard s div R, at byte (s mod R) * stride: a trainer that has read up to any slot
-seeks there. Shards that are already whole are left as they are.
+seeks there. Shards that already hold the same bytes are left as they are.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def _write(out: str, size: int, shard_rows: int, n: int, pad: int):
                 raise ValueError(f"shard {shard} has {len(meta)} of {rows} records")
             uri = f"{out}/shard-{shard:08d}.bin"
             fs, path = open_fs(uri)
-            if fs.get_file_info(path).size != rows * stride:
+            if fs.get_file_info(path).size != rows * stride or not map_file(uri).equals(pa.py_buffer(data)):
                 put_file(uri, data)
             back = np.frombuffer(map_file(uri), "<u2").reshape(rows, size)
             slot, k, docs = zip(*meta, strict=True)

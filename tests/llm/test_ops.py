@@ -236,6 +236,16 @@ def test_training_order(docs, odd, empty, tmp_path):
     assert training_order.materialise(empty).count() == 0 and training_order.materialise(odd).count() > 0
 
 
+def test_training_order_again(docs, tmp_path):
+    """Shards of another key in the same folder are replaced."""
+    out = f"file://{tmp_path}/shards"
+    for key in (1, 2):
+        got = sorted(training_order.materialise(docs, out, size=32, key=key, shard_rows=16).collect(), key=lambda r: r.slot)
+    fresh = f"file://{tmp_path}/fresh"
+    want = sorted(training_order.materialise(docs, fresh, size=32, key=2, shard_rows=16).collect(), key=lambda r: r.slot)
+    assert got == want and (training_order.read_records(out, 0, len(got), 32, 16) == training_order.read_records(fresh, 0, len(got), 32, 16)).all()
+
+
 def test_fingerprints(docs, odd, empty):
     def sketch(text):
         h = [struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), 42)))[0] for w in re.findall(r"[^\x20\x09-\x0D]+", text)]

@@ -336,6 +336,16 @@ def test_sniffing(spark):
     assert [m.kind for m in got[3].media] == ["audio/wav", "image/png"] and got[4].type == "x/y" and got[5].media == []
 
 
+def test_sniffing_pdfs():
+    """One file with its updates and what it embeds, but not the files after it."""
+    pdf = b"%PDF-1.4\nx\nstartxref\n9\n%%EOF\n"
+    updated = pdf + b"y\nstream\n" + pdf + b"endstream\nstartxref\n20\n%%EOF\n"
+    wav, finder = media.store_wav(b"abc"), media.automaton()
+    got = media.sniff(updated + wav + pdf + pdf, finder)
+    at = len(updated) + len(wav)
+    assert got == [media.Medium("application/pdf", 0, len(updated) - 1), media.Medium("audio/wav", len(updated), len(wav)), media.Medium("application/pdf", at, len(pdf) - 1), media.Medium("application/pdf", at + len(pdf), len(pdf) - 1)]
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
     <header><a href="/">Site</a></header><nav><ul><li><a>Menu</a></ul></nav><div id="cookie-notice"><p>We use cookies to make this long site work better for everyone</p></div>

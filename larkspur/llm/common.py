@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words longer than this are worked out afresh each time: a cache of short words is bounded in bytes by its entries.
+LONG = 64
 _own: dict[str, str] = {}
-
-
+_made: list[str] = []
 _held: list = [None, None]
 
 
@@ -36,22 +37,44 @@ def only(name: object, make: Callable[[], Any]) -> Any:
     return _held[1]
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; under one of our own where that is unset (tests, one machine)."""
+def shared_dir(spark: SparkSession, label: str, lasting: bool = False) -> str:
+    """A new folder under spark.checkpoint.dir; under one of our own where that is unset and everything runs on one machine.
+
+    What is not lasting goes when the driver's process ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or _own.get("base")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor shares")
         folder = tempfile.mkdtemp(prefix="larkspur-")
         atexit.register(shutil.rmtree, folder, True)
         base = _own["base"] = "file://" + folder
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    uri = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not lasting:
+        if not _made:
+            atexit.register(lambda: [discard(x) for x in _made])
+        _made.append(uri)
+    return uri
 
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, so that a lost executor costs no recomputation."""
+    return keep_at(df, label)[0]
+
+
+def keep_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As `keep`, and the folder, for `discard` when nothing reads it any more."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(uri: str) -> None:
+    """Removes a folder of the shared place, if it is there."""
+    fs, path = open_fs(uri)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -90,11 +113,13 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """64-bit hash by word; emptied when it has grown past a bound."""
+    """64-bit hash by word; long words are not kept, and it is emptied when it has grown past a bound."""
 
     MOST = 400_000
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > LONG:
+            return xxhash.xxh64_intdigest(word)
         if len(self) >= self.MOST:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
@@ -129,13 +154,18 @@ def row_mod(crc_of: str, by: int) -> F.Column:
     return F.crc32(F.col(crc_of).cast("string").cast("binary")) % by
 
 
-def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 5) -> tuple[list[tuple[bytes, int, str | None]], tuple[int, int]]:
+def long_key(word: bytes) -> bytes:
+    """What a long word is kept under: a space, which no word has, and 128 bits of hash."""
+    return b" " + xxhash.xxh3_128_digest(word)
+
+
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 5, most_bytes: int = 1 << 18) -> tuple[list[tuple[bytes, int, str | None]], tuple[int, int]]:
     """At most per_class labelled texts of each class with their languages, drawn by hash, and the counts of both classes.
 
     The sample is uniform within a class and the same on every run. Labels that are null or
     other than 0 and 1 are passed over; so are documents without text. A document labelled
     twice counts once, with its larger label. Only the sample reaches the driver: 2 * per_class
-    rows by contract.
+    rows of at most most_bytes by contract; longer texts are scored but not learned from.
     """
     lab = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     lab = lab.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 16))
@@ -146,7 +176,7 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int,
         part = lab.where((F.col("y") == y) & (F.col("h") < F.lit(bound))).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y")
         ids = part if ids is None else ids.union(part)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", "text", lang.alias("lang")).where("text is not null").join(F.broadcast(ids), "doc_id").collect()
+    rows = docs.select("doc_id", "text", lang.alias("lang")).where(F.octet_length("text") <= most_bytes).join(F.broadcast(ids), "doc_id").collect()
     rows.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"]), seed), r["text"]))
     out, seen = [], set()
     for r in rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keep
+from larkspur.llm.common import discard, keep_at
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -18,7 +18,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.select("a", "b").where("a is not null and b is not null")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    e = keep(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    e, folder = keep_at(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
+    old = mark(e)
     for _ in range(most_rounds):
         # large star: each larger neighbour of u links to u's smallest neighbour (or u)
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,11 +29,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: u and its smaller neighbours link to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b")))
-        new = keep(small.distinct(), "cc")
-        same = new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first() == e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).first()
-        e = new
-        if same:
+        e, now = keep_at(small.distinct(), "cc")
+        discard(folder)
+        folder, new = now, mark(e)
+        if new == old:
             break
+        old = new
     else:
         raise RuntimeError("components did not settle")
     root = e.groupBy("a").agg(F.min("b").alias("root"))

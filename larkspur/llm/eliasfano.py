@@ -52,8 +52,8 @@ class EliasFano:
         if l:
             out, step = low.view(np.uint8), 1 << 16
             for i in range(0, n, step):  # step * l bits are whole bytes
-                v = values[i : i + step]
-                piece = np.packbits(((v[:, None] >> np.arange(l, dtype=np.uint64)) & _U(1)).astype(np.uint8).ravel(), bitorder="little")
+                v = np.ascontiguousarray(values[i : i + step], "<u8").view(np.uint8).reshape(-1, 8)[:, : (l + 7) // 8]
+                piece = np.packbits(np.unpackbits(v, axis=1, count=l, bitorder="little").ravel(), bitorder="little")
                 out[i * l // 8 : i * l // 8 + len(piece)] = piece
         return cls(n, l, low, high, zeros)
 
@@ -141,7 +141,19 @@ class EliasFano:
         return np.where(found, at, -1)
 
     def values(self) -> np.ndarray:
-        return self.access(np.arange(self.n))
+        """All elements, decoded in one sweep."""
+        n, l = self.n, self.low_bits
+        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[:n]
+        out = (ones - np.arange(n)).astype(np.uint64) << _U(l)
+        if l:
+            low, step = self.low.view(np.uint8), 1 << 16
+            for i in range(0, n, step):
+                k = min(step, n - i)
+                bits = np.unpackbits(low[i * l // 8 : (i + k) * l // 8 + 1], count=k * l, bitorder="little").reshape(k, l)
+                whole = np.zeros((k, 8), np.uint8)
+                whole[:, : (l + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
+                out[i : i + k] |= whole.view("<u8")[:, 0]
+        return out
 
 
 def to_bytes(arrays: list[np.ndarray]) -> bytes:

@@ -3,16 +3,18 @@
 Level 1 is the sorted 64-bit hashes of all training words, with exact counts as a monotone
 running sum. Level 2 holds the word pairs as (context id, word id), level 3 the triples as
 (pair position, rank of the last word among the successors of the middle one): ids relative to
-their context, which keeps the numbers small. Each level
-is a monotone sequence in Elias-Fano form, cut into segments; a segment is one file in the
-shared folder, which tasks map into memory. Discounted probabilities and back-off weights are
-16-bit logarithms, rounded down, so that no context's probabilities exceed one.
+their context, which keeps the numbers small. Each level is a monotone sequence in Elias-Fano
+form, cut into segments; a segment's files are in the shared folder, and tasks map them into
+memory. Beside its elements a segment has, for each of its contexts, a monotone pointer to
+where the context's successors begin and the context's back-off weight; the few contexts that
+lie across segments have theirs with the model. Discounted probabilities and back-off weights
+are 16-bit logarithms, rounded down, so that no context's probabilities exceed one.
 
 Every training token is counted. Tasks count in numpy and emit sorted runs by range of codes,
 compressed; a range is merged by one task, which writes its segment. Ranges are cut by
 probability mass from the level before, so that one frequent context is spread over many.
-op4_lm stores all pairs and triples, those met once too. With train(least=2) these are kept out
-of the trie (min_count), but their mass is in the discounts. Counting a level looks up the one
+All pairs and triples are stored, those met once too. With train(least=2) these are kept out
+of the trie, but their mass is in the discounts. Counting a level looks up the one
 before: a triple can only occur `least` times if both of its pairs do.
 
 The driver holds a line per segment. The number of segments follows the session's shuffle
@@ -21,13 +23,13 @@ partitions; a worker holds one chunk of tokens.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +56,11 @@ def to_run(codes: np.ndarray, counts: np.ndarray) -> bytes:
     """A sorted run, as compressed byte planes of differences and counts."""
     d = np.diff(codes, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
     c = counts.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(np.ascontiguousarray(d).tobytes() + np.ascontiguousarray(c).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d).tobytes() + np.ascontiguousarray(c).tobytes())
 
 
 def from_run(run: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(run), np.uint8).reshape(12, -1)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(run), np.uint8).reshape(12, -1)
     codes = np.cumsum(np.ascontiguousarray(raw[:8].T).view("<u8")[:, 0], dtype=np.uint64)
     return codes, np.ascontiguousarray(raw[8:].T).view("<u4")[:, 0].astype(np.int64)
 
@@ -140,6 +142,9 @@ class Level:
         self.base = np.r_[0, np.cumsum([m[1] for m in meta])].astype(np.int64)
         self.mass = np.r_[0, np.cumsum([m[3] for m in meta])].astype(np.int64)
         self.n, self.total = int(self.base[-1]), int(self.mass[-1])
+        #: Of each segment its first and last context; the back-off weights of contexts at the edges of segments.
+        self.low = self.high = self.edge = np.zeros(0, np.int64)
+        self.edge_back = np.zeros(0)
         self.open: dict[tuple[int, str], list[np.ndarray]] = {}
 
     def __getstate__(self) -> dict:
@@ -160,6 +165,11 @@ class Level:
             self.open[s, "_sums"] = EliasFano.from_arrays(self.part(s, "codes")[4:])  # type: ignore[assignment]
         return self.open[s, "_sums"]  # type: ignore[return-value]
 
+    def pointers(self, s: int) -> EliasFano:
+        if (s, "_ptr") not in self.open:
+            self.open[s, "_ptr"] = EliasFano.from_arrays(self.part(s, "ptr"))  # type: ignore[assignment]
+        return self.open[s, "_ptr"]  # type: ignore[return-value]
+
     def _by_segment(self, sorted_at: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, slice]]:
         s = np.searchsorted(edges, sorted_at, "right") - 1
         if len(s):
@@ -200,8 +210,37 @@ class Level:
     def counts(self, positions: np.ndarray) -> np.ndarray:
         return self.each(positions, lambda s, i: (lambda e: (e.access(i + 1) - e.access(i)).astype(np.int64))(self.sums(s)), np.int64)
 
-    def weights(self, positions: np.ndarray, kind: str) -> np.ndarray:
-        return self.each(positions, lambda s, i: expand(self.part(s, kind)[0][i]), np.float64)
+    def all_counts(self, a: int, b: int) -> np.ndarray:
+        """The counts of positions a to b - 1, segment by segment in whole."""
+        first, last = np.searchsorted(self.base, (a, b - 1), "right") - 1
+        own = np.concatenate([np.diff(self.sums(s).values().astype(np.int64)) for s in range(first, last + 1)])
+        return own[a - self.base[first] : b - self.base[first]]
+
+    def probabilities(self, positions: np.ndarray) -> np.ndarray:
+        return self.each(positions, lambda s, i: expand(self.part(s, "prob")[0][i]), np.float64)
+
+    def successors(self, contexts: np.ndarray) -> np.ndarray:
+        """Where the elements of each of the sorted contexts begin."""
+        s = np.searchsorted(self.high, contexts)  # the first segment that reaches so far
+        out = np.full(len(contexts), self.n, np.int64)
+        for k in np.unique(s[s < len(self.high)]).tolist():
+            at = np.flatnonzero(s == k)
+            i = contexts[at] - self.low[k]
+            out[at] = self.base[k] + np.where(i < 0, 0, self.pointers(k).access(np.maximum(i, 0)).astype(np.int64))
+        return out
+
+    def backoff(self, contexts: np.ndarray) -> np.ndarray:
+        """Back-off weights of sorted contexts; 1 where a context has no successors here."""
+        out = np.ones(len(contexts))
+        s = np.searchsorted(self.low, contexts, "right") - 1
+        inside = np.flatnonzero((s >= 0) & (contexts <= self.high[np.maximum(s, 0)])) if len(self.low) else np.zeros(0, np.int64)
+        for k in np.unique(s[inside]).tolist():
+            at = inside[s[inside] == k]
+            out[at] = expand(self.part(k, "back")[0][contexts[at] - self.low[k]])
+        if len(self.edge):
+            e = np.minimum(np.searchsorted(self.edge, contexts), len(self.edge) - 1)
+            out = np.where(self.edge[e] == contexts, self.edge_back[e], out)
+        return out
 
 
 class Model:
@@ -247,10 +286,6 @@ class Model:
         at = (before + own * (mass[iw] / max(1, self.tokens))) / total * ranges
         return np.maximum.accumulate(np.minimum(at.astype(np.int64), ranges - 1))
 
-    def successors(self, w: np.ndarray) -> np.ndarray:
-        """Where the pairs of sorted contexts w begin."""
-        return self.levels[1].search(self.pair_codes(w, np.zeros(len(w), np.int64)), exact=False)
-
     def triple_ranges(self, codes: np.ndarray, ranges: int) -> np.ndarray:
         pair, rank = (codes // np.uint64(self.most)).astype(np.int64), (codes % np.uint64(self.most)).astype(np.float64)
         up, ip = runs_of(pair)
@@ -304,7 +339,7 @@ class Text:
         ok = np.flatnonzero((self.before >= 0) & (self.pair >= 0))
         known = np.flatnonzero(self.ids >= 0)
         start = np.zeros(len(self.ids), np.int64)
-        start[known] = m.successors(self.ids[known])
+        start[known] = m.levels[1].successors(self.ids[known])
         rank = self.pairs[self.pair[ok]] - start[self.word[ok - 1]]
         return ok, self.pairs[self.before[ok]].astype(np.uint64) * np.uint64(m.most) + rank.astype(np.uint64)
 
@@ -393,7 +428,7 @@ def _level(runs: DataFrame, uri: str, universe: int, least: int, parts: int) ->
 
 def _weigh(shared, order: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Writes each segment's discounted probabilities; gives (segment and id of the context, its kept mass)."""
+        """Writes each segment's discounted probabilities, pointers and back-off weights; gives its first and last contexts, the mass that each keeps here, and the successors that each has here and the most of any."""
         m = local(shared.value)
         level, disc = m.levels[order - 1], np.array((0.0, *m.discounts[order - 2]))
         for b in batches:
@@ -401,64 +436,49 @@ def _weigh(shared, order: int):
                 codes = level.sequence(s).values()
                 counts = np.diff(level.sums(s).values().astype(np.int64))
                 ctx = (codes // np.uint64(m.types + 1 if order == 2 else m.most)).astype(np.int64)
-                u, i = np.unique(ctx, return_inverse=True)
-                of = m.context_count(u) if order == 2 else m.levels[1].counts(u)
+                u, i = runs_of(ctx)
+                low, high = int(u[0]), int(u[-1])
+                of = m.context_count(u) if order == 2 else m.levels[1].all_counts(low, high + 1)[u - low]
                 p = (counts - disc[np.minimum(counts, 3)]) / of[i]
-                put_file(f"{level.uri}/{level.meta[s][0]:06d}.prob", to_bytes([quantise(p)]))
-                kept = np.bincount(i, p, len(u))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(kept)], ["ctx", "kept"])
+                kept, many = np.bincount(i, p, len(u)), np.bincount(i, minlength=len(u))
+                size = np.zeros(high - low + 2, np.int64)
+                size[u - low + 1] = many
+                back = np.ones(high - low + 1)
+                back[u - low] = 1 - kept
+                path = f"{level.uri}/{level.meta[s][0]:06d}"
+                put_file(f"{path}.prob", to_bytes([quantise(p)]))
+                put_file(f"{path}.ptr", to_bytes(EliasFano.of(np.cumsum(size), len(codes)).arrays()))
+                put_file(f"{path}.back", to_bytes([quantise(np.maximum(back, 0))]))
+                row = (s, low, high, float(kept[0]), float(kept[-1]), int(many[0]), int(many[-1]), int(many.max()))
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], [f.split()[0] for f in EDGES.split(", ")])
 
     return go
 
 
-def _segment_of(shared, order: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = local(shared.value)
-        base = m.levels[order - 2].base
-        for b in batches:
-            s = np.searchsorted(base, b.column(0).to_numpy(), "right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(s), *b.columns], ["s", "ctx", "kept"])
-
-    return go
+EDGES = "s long, low long, high long, kept_low double, kept_high double, n_low long, n_high long, n_most long"
 
 
-def _write_backoff(shared, order: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (s, ctx, kept) sorted by segment: back-off weights, 1 where a context keeps nothing."""
-        m = local(shared.value)
-        level = m.levels[order - 2]
+def _link(level: Level, rows: list) -> int:
+    """Gives a level the contexts of its segments and the weights of those at edges, which may lie across several; the most successors of any context."""
+    rows = sorted(rows, key=lambda r: r["s"])
+    level.low = np.array([r["low"] for r in rows], np.int64)
+    level.high = np.array([r["high"] for r in rows], np.int64)
+    kept: dict[int, float] = {}
+    many: dict[int, int] = {}
+    for r in rows:
+        for side in ("low", "high")[: 1 + (r["low"] < r["high"])]:
+            kept[r[side]] = kept.get(r[side], 0.0) + r[f"kept_{side}"]
+            many[r[side]] = many.get(r[side], 0) + r[f"n_{side}"]
+    level.edge = np.array(sorted(kept), np.int64)
+    level.edge_back = expand(quantise(np.maximum(1 - np.array([kept[c] for c in level.edge.tolist()], np.float64), 0)))
+    return max([1, *many.values(), *(r["n_most"] for r in rows)])
 
-        def write(s: int, ctx: list, kept: list) -> None:
-            n = level.meta[s][1] if s < len(level.meta) else 1  # one past the words: the beginning of a text
-            back = np.ones(n)
-            base = level.base[s] if s < len(level.meta) else level.n
-            back[np.concatenate(ctx) - base] = 1 - np.concatenate(kept)
-            put_file(f"{level.uri}/{level.meta[s][0] if s < len(level.meta) else 999999:06d}.back", to_bytes([quantise(np.maximum(back, 0))]))
 
-        at, ctx, kept, done = None, [], [], []
-        for b in batches:
-            col = [c.to_numpy() for c in b.columns]
-            edge = np.r_[0, np.flatnonzero(col[0][1:] != col[0][:-1]) + 1, len(col[0])]
-            for i, j in zip(edge[:-1], edge[1:], strict=True):
-                if j > i:
-                    if at is not None and col[0][i] != at:
-                        write(at, ctx, kept)
-                        done.append(at)
-                        ctx, kept = [], []
-                    at = int(col[0][i])
-                    ctx.append(col[1][i:j])
-                    kept.append(col[2][i:j])
-        if at is not None:
-            write(at, ctx, kept)
-            done.append(at)
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], ["s"])
-
-    return go
+def train(docs: DataFrame, least: int = 1) -> Model:
+    """The model of all docs (doc_id, text), of the pairs and triples met `least` times: three passes over the texts, each one shuffle of compressed runs.
 
-
-def train(docs: DataFrame, least: int = 2) -> Model:
-    """The model of all docs (doc_id, text), of the pairs and triples met `least` times: three passes over the texts, each one shuffle of compressed runs."""
+    Pairs are coded in 64 bits: over 4.29 billion different words are refused.
+    """
     spark = docs.sparkSession
     sc = spark.sparkContext
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -470,7 +490,9 @@ def train(docs: DataFrame, least: int = 2) -> Model:
     words, _ = _level(docs.mapInArrow(_count_words(bits), run_schema), f"{uri}/1", (1 << 64) - 1, 1, parts)
     m.levels.append(words)
     for order in (2, 3):
-        ranges = min(20_000, max(parts, m.tokens >> 20))
+        if (m.types + 1) ** 2 >> 64 or (order == 3 and m.levels[1].n * m.most >> 64):
+            raise OverflowError(f"{m.types} words are too many for 64-bit codes")
+        ranges = max(parts, min(20_000, m.tokens >> 20), m.tokens >> 23)
         shared = sent(sc, m)
         count = _count_pairs(shared, ranges, least) if order == 2 else _count_triples(shared, ranges)
         universe = (m.types + 1) ** 2 if order == 2 else m.levels[1].n * m.most
@@ -478,45 +500,13 @@ def train(docs: DataFrame, least: int = 2) -> Model:
         m.levels.append(level)
         m.discounts.append(disc)
         shared = sent(sc, m)
-        segments = spark.range(0, len(level.meta), 1, max(1, min(parts, len(level.meta)))).mapInArrow(_weigh(shared, order), "ctx long, kept double")
-        kept = segments.groupBy("ctx").agg(F.sum("kept").alias("kept")).mapInArrow(_segment_of(shared, order), "s long, ctx long, kept double")
-        written = kept.repartition(parts, "s").sortWithinPartitions("s", "ctx").mapInArrow(_write_backoff(shared, order), "s long").collect()
-        m.levels[order - 2].backed = {r["s"] for r in written}
-        if order == 2 and level.n:
-            shared = sent(sc, m)
-            top = spark.range(0, len(level.meta), 1, max(1, min(parts, len(level.meta)))).mapInArrow(_degrees(shared), "ctx long, n long")
-            m.most = max(1, top.groupBy("ctx").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
+        n = len(level.meta)
+        most = _link(level, spark.range(0, n, 1, max(1, min(4 * parts, n))).mapInArrow(_weigh(shared, order), EDGES).collect())
+        if order == 2:
+            m.most = most
     return m
 
 
-def _degrees(shared):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = local(shared.value)
-        for b in batches:
-            for s in b.column(0).to_pylist():
-                u, n = np.unique((m.levels[1].sequence(s).values() // np.uint64(m.types + 1)).astype(np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["ctx", "n"])
-
-    return go
-
-
-def _backoff(m: Model, order: int, ctx: np.ndarray) -> np.ndarray:
-    """Back-off weights of contexts (word ids or pair positions)."""
-    level = m.levels[order - 2]
-    out = np.ones(len(ctx))
-    inside = np.flatnonzero(ctx < level.n)
-
-    def of(s: int, i: np.ndarray) -> np.ndarray:
-        return expand(level.part(s, "back")[0][i]) if s in level.backed else np.ones(len(i))
-
-    out[inside] = level.each(ctx[inside], of, np.float64)
-    if len(inside) < len(ctx) and len(level.meta) in level.backed:
-        if "begin" not in level.open:
-            level.open["begin"] = expand(from_buffer(map_file(f"{level.uri}/999999.back"))[0])[0]
-        out[ctx >= level.n] = level.open["begin"]
-    return out
-
-
 def score_chunk(m: Model, hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, base score, score. What a word or pair has is looked up once for each distinct one."""
     t = Text(m, hashes, begin, True)
@@ -525,21 +515,21 @@ def score_chunk(m: Model, hashes: np.ndarray, begin: np.ndarray) -> tuple[np.nda
     counts[known] = m.levels[0].counts(t.ids[known])
     floor = (counts + 1) / (m.tokens + m.types + 1)
     back = np.ones(len(t.ids))
-    back[known] = _backoff(m, 2, t.ids[known])
+    back[known] = m.levels[1].backoff(t.ids[known])
     p = floor[t.word]
     context = np.r_[1.0, back[t.word[:-1]]]
-    context[begin] = _backoff(m, 2, np.array([m.types]))[0]
+    context[begin] = m.levels[1].backoff(np.array([m.types]))[0]
     p *= context
     at = np.flatnonzero(t.pair >= 0)
-    p[at] += m.levels[1].weights(t.pairs, "prob")[t.pair[at]]
+    p[at] += m.levels[1].probabilities(t.pairs)[t.pair[at]]
     at = np.flatnonzero(t.before >= 0)
-    p[at] *= _backoff(m, 3, t.pairs)[t.before[at]]
+    p[at] *= m.levels[2].backoff(t.pairs)[t.before[at]]
     if m.levels[2].n and len(at):
         ok, codes = t.triples(m)
         u, i = distinct(codes)
         pos = m.levels[2].search(u)
         add = np.zeros(len(u))
-        add[pos >= 0] = m.levels[2].weights(pos[pos >= 0], "prob")
+        add[pos >= 0] = m.levels[2].probabilities(pos[pos >= 0])
         p[ok] += add[i]
     n = np.diff(np.r_[begin, len(hashes)])
     return n, np.add.reduceat((counts > 0)[t.word].astype(np.int64), begin), np.add.reduceat(np.log10(floor)[t.word], begin), np.add.reduceat(np.log10(p), begin)
@@ -570,5 +560,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op4_lm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(row_mod("doc_id", 7) == 2, F.lit(False))
-    model = train(docs.where(~held), least=1)
+    model = train(docs.where(~held))
     return score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import label_sample, only, row_mod, small_batches, table, texts, without_copies
+from larkspur.llm.common import LONG, label_sample, long_key, only, row_mod, small_batches, table, texts, without_copies
 
 PASSAGE, SHAPES, PER_CLASS, HIDDEN, GATE = 64, 64, 1500, 24, 12
 STATS = 11
@@ -44,6 +44,9 @@ class WordStats(dict):
         self.bucket = np.zeros(1024, np.int64)
 
     def __missing__(self, w: bytes) -> int:
+        key = w if len(w) <= LONG else long_key(w)
+        if key is not w and (i := self.get(key)) is not None:
+            return i
         i = len(self)
         if i == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -60,7 +63,7 @@ class WordStats(dict):
         letters = lower + upper + wide
         self.table[i] = (min(n, 40) / 10, upper / n, letters > 1 and upper > 0 and lower == 0, shape[:1] == b"A" and lower > 0, digit / n, marks / n, marks == n, tail, wide / n, n > 25, n == 1)
         self.bucket[i] = xxhash.xxh32_intdigest(bytes(short[:8])) % SHAPES
-        self[w] = i
+        self[key] = i
         return i
 
 

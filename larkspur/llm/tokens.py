@@ -13,7 +13,7 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-from larkspur.llm.common import only
+from larkspur.llm.common import LONG, only
 
 MOST_PARTS, MOST_PIECES = 500_000, 350_000
 _MARKS = frozenset(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
@@ -42,7 +42,8 @@ class Pieces(dict):
         if ids is None:
             name = piece.decode() if piece.isascii() else "".join([self.names[b] for b in piece])
             ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(name)])
-        self[piece] = ids
+        if len(piece) <= LONG:
+            self[piece] = ids
         return ids
 
 
@@ -51,6 +52,8 @@ class PartIds(dict):
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} has ids that do not fit in 16 bits")
         self.pieces = Pieces(self.tokenizer)
 
     def __missing__(self, part: bytes) -> bytes:
@@ -66,7 +69,8 @@ class PartIds(dict):
                 ids = b"".join([self.pieces[p.encode()] for p in _PIECE.findall(text.lower())])
             else:
                 ids = b"".join([i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
-        self[part] = ids
+        if len(part) <= LONG:  # a text without white space is one part: kept, it would grow the cache by its bytes
+            self[part] = ids
         return ids
 
     def of(self, text: bytes | None) -> bytes:

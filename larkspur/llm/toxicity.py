@@ -13,6 +13,7 @@ language on a part of the sample that training leaves out; scores never see the
 from __future__ import annotations
 
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import label_sample, only, row_mod, small_batches, table, texts, without_copies
+from larkspur.llm.common import LONG, label_sample, long_key, only, row_mod, small_batches, table, texts, without_copies
 
 BUCKETS, DIM, FILTERS, WIDTHS, PER_CLASS = 1 << 16, 8, 8, (1, 2, 3), 3000
 PARTS, COLUMNS = 6, FILTERS * sum(WIDTHS)
@@ -46,7 +47,10 @@ class WordRows(dict):
         self.flat = array("i", [0] * PARTS)
 
     def __missing__(self, w: bytes) -> int:
-        i = self[w] = len(self.flat) // PARTS
+        key = w if len(w) <= LONG else long_key(w)
+        if key is not w and (i := self.get(key)) is not None:
+            return i
+        i = self[key] = len(self.flat) // PARTS
         self.flat.extend(parts(w))
         return i
 
@@ -86,6 +90,7 @@ class Model:
         self.base = np.zeros(1, np.float32)
         self.constant: float | None = None
         self.thresholds: dict[str, float] = {}
+        self.key = uuid.uuid4().hex  # of the tables that workers keep for these weights
 
     def responses(self, table: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
         """Each width's filter responses at each position of ids."""
@@ -102,7 +107,7 @@ class Model:
     def score(self, docs: list[bytes | None]) -> np.ndarray:
         if self.constant is not None or not docs:
             return np.full(len(docs), self.constant if self.constant is not None else 0.5)
-        met = only(("toxicity", id(self)), Met)
+        met = only(("toxicity", self.key), Met)
         if len(met.words) > self.MOST:
             met.__init__()
         ids, begin, end = flat(docs, met.words)

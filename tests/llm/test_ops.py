@@ -387,7 +387,7 @@ def test_language_model(spark, docs, odd, empty):
     import math
     from collections import Counter
 
-    m = lm.train(docs.select("doc_id", "text"))
+    m = lm.train(docs.select("doc_id", "text"), least=2)
     texts = [(r.text or "").lower().split() for r in docs.collect()]
     uni, bi, tri = Counter(), Counter(), Counter()
     for ws in texts:

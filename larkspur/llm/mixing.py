@@ -30,7 +30,7 @@ def with_order(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def plan_sources(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """Per source: s (its words), target, whole (repetitions of all its documents) and cut (the last _at that gets one more).
+    """Per source: _s (its words), _target, _whole (repetitions of all its documents), _cut (the last _at that gets one more) and, of the equal rows at the cut, how many there are (_ties) and how many of them get it (_take).
 
     Sources are ordered by code point, null last, and weigh `weights` in turn. The mix has
     share[0]/share[1] of all words. Targets are min(epochs * s, level * weight) with one level
@@ -39,7 +39,8 @@ def plan_sources(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tup
     row per source in a single task, which streams and spills; no document passes through it.
 
     A source's order is cut into 4096 hash ranges; running sums over ranges, then within
-    ranges, so a source with a third of all rows is spread over 4096 groups.
+    ranges, so a source with a third of all rows is spread over 4096 groups. Equal rows are
+    added up before any window, so a row that is repeated without end is one.
     """
     num, den = share
     unit = lcm(*weights)
@@ -65,12 +66,32 @@ def plan_sources(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tup
     edge = ranges.join(sources.select("_source", "extra"), "_source").where("r0 <= extra and r0 + rs >= extra").select("_source", "_range", "r0", "extra")
     inside = Window.partitionBy("_source", "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     rows = slim.select("_source", F.substring("_at.k", 1, 3).alias("_range"), "_at", "_size").join(edge, ["_source", "_range"])
-    rows = rows.withColumn("c", F.col("r0") + F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    cut = rows.where("2 * c + _size <= 2 * extra").groupBy("_source").agg(F.max("_at").alias("edge_cut"))
+    rows = rows.groupBy("_source", "_range", "_at", "_size", "r0", "extra").agg(F.count("*").alias("g"))
+    rows = rows.withColumn("c", F.col("r0") + F.coalesce(F.sum(F.col("g") * F.col("_size")).over(inside), F.lit(0)))
+    # The j-th of equal rows (from 0) is taken while half of it still fits; a quotient that rounding has moved by one is put right.
+    fits = lambda j: 2 * (F.col("c") + j * F.col("_size")) + F.col("_size") <= 2 * F.col("extra")
+    guess = F.when(F.col("_size") == 0, F.col("g")).otherwise(F.least(F.col("g"), F.floor((2 * F.col("extra") - 2 * F.col("c") + F.col("_size")) / (2 * F.col("_size")))))
+    rows = rows.where(fits(F.lit(0))).withColumn("m", F.greatest(F.lit(1), guess))
+    more, less = (F.col("m") < F.col("g")) & fits(F.col("m")), ~fits(F.col("m") - 1)
+    rows = rows.withColumn("m", F.col("m") + F.when(more, 1).otherwise(0) - F.when(less, 1).otherwise(0))
+    cut = rows.groupBy("_source").agg(F.max(F.struct("_at", "g", "m")).alias("edge_cut"))
     least = edge.groupBy("_source").agg(F.min("_range").alias("least"))
     # With no document of the edge range taken, all of the ranges before it are: any key of the edge range is larger than its three digits.
     under = F.struct(F.col("least").alias("k"), F.lit("").alias("t"))
-    return sources.join(cut, "_source", "left").join(least, "_source", "left").select("_source", "s", "target", "whole", F.coalesce("edge_cut", F.when(F.col("least").isNotNull(), under)).alias("cut"))
+    at_cut = F.coalesce(F.col("edge_cut")["_at"], F.when(F.col("least").isNotNull(), under))
+    return sources.join(cut, "_source", "left").join(least, "_source", "left").select("_source", F.col("s").alias("_s"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), at_cut.alias("_cut"), F.coalesce(F.col("edge_cut")["g"], F.lit(0)).alias("_ties"), F.coalesce(F.col("edge_cut")["m"], F.lit(0)).alias("_take"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows, kept, and the column _nth: 0, 1, ... within each _source. Counts by task and running sums over tasks, so any number of equal rows may be one source's."""
+    rows = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "mix-ties")
+    rows = rows.withColumn("_task", F.shiftright("_row", 33))
+    counts = rows.groupBy("_source", "_task").agg(F.count("*").alias("_n"))
+    # Rows of one task are numbered within it by source; a task's part of a source is at most one task's rows.
+    within = F.row_number().over(Window.partitionBy("_source", "_task").orderBy("_row")) - 1
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("_source").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("_source", "_task", ahead.alias("_ahead"))
+    return rows.join(bases, ["_source", "_task"]).withColumn("_nth", F.col("_ahead") + within).drop("_row", "_task", "_ahead")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
@@ -78,16 +99,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, i
 
     A source's documents are all repeated `whole` times; the seeded order is then followed
     until half of the next document would overshoot the target, so a source misses its
-    target by half a document at most. Rows with equal doc_id and text are cut off together.
-    Null text has size 0; null source is a source of its own; null doc_id is a value like
-    any other. An empty table gives an empty table. Other columns pass through; the names
-    that begin with an underscore here are reserved.
+    target by half a document at most. Of rows with equal doc_id and text as many are taken as
+    fit; which of them is open. Null text has size 0; null source is a source of its own; null
+    doc_id is a value like any other. An empty table gives an empty table. Other columns pass
+    through; the names that begin with an underscore here are reserved.
     """
     ordered = with_order(docs, seed)
     slim = keep(ordered.select("_source", "_at", "_size"), "mix-slim")
-    plan = keep(plan_sources(slim, weights, share, epochs).withColumnRenamed("s", "_s").withColumnRenamed("target", "_target"), "mix-plan")
-    more = F.coalesce((F.col("_at") <= F.col("cut")).cast("int"), F.lit(0))
-    return ordered.join(plan, "_source", "left").withColumn("_copies", F.col("whole") + F.when(F.col("whole") >= epochs, 0).otherwise(more))
+    plan = keep(plan_sources(slim, weights, share, epochs), "mix-plan")
+    rows = ordered.join(plan, "_source", "left")
+    extra = lambda taken: F.col("_whole") + F.when(F.col("_whole") >= epochs, 0).otherwise(F.coalesce(taken.cast("int"), F.lit(0)))
+    if plan.where(f"_take < _ties and _whole < {int(epochs)}").limit(1).count() == 0:
+        return rows.withColumn("_copies", extra(F.col("_at") <= F.col("_cut")))
+    tied = F.coalesce((F.col("_at") == F.col("_cut")) & (F.col("_take") < F.col("_ties")), F.lit(False))
+    apart = rows.where(~tied).withColumn("_copies", extra(F.col("_at") <= F.col("_cut")))
+    cut = numbered(rows.where(tied))
+    return apart.unionByName(cut.withColumn("_copies", extra(F.col("_nth") < F.col("_take"))).drop("_nth"))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

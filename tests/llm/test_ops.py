@@ -168,6 +168,28 @@ def test_mixing(spark, empty, odd):
     assert len(mixing.mix(odd).collect()) == len(ODD)
 
 
+def test_mixing_equal_rows(spark, tmp_path):
+    """Of equal rows as many are taken as fit, as the SQL does row by row; columns named as the plan's do not clash."""
+    import duckdb
+
+    r = random.Random(3)
+    same = [(7, "one two three four five six seven eight", "hot", 1, 2)] * 1000
+    rest = [(100 + i, prose(r, r.randint(0, 30)), ["a", "b", None][i % 3], 3, 4) for i in range(200)] + [(50, "", "a", 0, 0)] * 3
+    spark.createDataFrame(same + rest, "doc_id long, text string, source string, whole int, cut int").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op3_mixing(spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.execute(mixing.SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(map(str, (tuple(x[n] for n in names) for x in got.collect()))) == sorted(map(str, want.fetchall()))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.mix(docs)
+    assert out.count() == docs.count() and set(docs.columns) <= set(out.columns)
+    for x in out.groupBy("source").agg({"_target": "max"}).collect():
+        taken = sum(y._copies * y._size for y in out.collect() if y.source == x.source)
+        assert abs(taken - x[1]) <= 30
+
+
 def test_packing(docs, odd, empty):
     from tokenizers import Tokenizer
     import public_tokenizers

@@ -286,7 +286,7 @@ def test_fingerprints(docs, odd, empty):
         if len(h) >= 5:
             kept = [x for x in signed if 0 <= x < fingerprint.LIMIT]
             signed = kept or [min(signed)]
-        return sorted({(x >> fingerprint.BITS) & 0x7FFFFFFF for x in signed})
+        return sorted(set(signed))
 
     def long_hash(x, seed):
         return xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
@@ -306,7 +306,7 @@ def test_fingerprints(docs, odd, empty):
             a, b, c = sketch(t), sketch(e), sketch(nxt)
             like = lambda x, y: float(x == y == []) if not x or not y else len(set(x) & set(y)) / min(len(x), len(y))
             assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
-            assert r.fingerprint == "".join(f"{x:08X}" for x in a) and r.edited_fingerprint == "".join(f"{x:08X}" for x in b)
+            assert r.fingerprint == "".join(f"{x % (1 << 64):016X}" for x in a) and r.edited_fingerprint == "".join(f"{x % (1 << 64):016X}" for x in b)
             assert abs(r.near_edited - like(a, b)) < 1e-12 and abs(r.near_next - like(a, c)) < 1e-12
     assert fingerprint.fingerprints(empty).count() == 0
 
@@ -314,9 +314,38 @@ def test_fingerprints(docs, odd, empty):
 def test_fingerprints_over_ranges(docs, monkeypatch):
     want = sorted(map(tuple, fingerprint.fingerprints(docs).collect()))
     monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 7)
+    monkeypatch.setattr(fingerprint, "QUANTILES", 4)
     assert sorted(map(tuple, fingerprint.fingerprints(docs).collect())) == want
 
 
+def test_fingerprints_of_hot_ids(spark, monkeypatch):
+    """Null doc_ids and one repeated doc_id are cut into ranges too, and give the same rows."""
+    r = random.Random(8)
+    data = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i - 40, prose(r, r.randint(0, 30))) for i in range(180)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted(map(str, fingerprint.fingerprints(df).collect()))
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 10)
+    monkeypatch.setattr(fingerprint, "QUANTILES", 9)
+    ranged = df.withColumn("r", fingerprint._ranges(df))
+    assert max(x["count"] for x in ranged.groupBy("r").count().collect()) < 40
+    assert sorted(map(str, fingerprint.fingerprints(df).collect())) == want
+
+
+def test_sketches_merge(spark):
+    """Merged sketches are the sketch of all shingles, also where one has a stand-in."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    pairs = [(prose(r, r.randint(5, 12)), prose(r, r.randint(0, 40))) for _ in range(60)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", *[fingerprint.sketch(F.col(c)).alias(f"s{c}") for c in "ab"])
+    rows_ = df.select("sa", "sb", fingerprint.merge(F.col("sa"), F.col("sb")).alias("m")).collect()
+    inside = lambda s: [h for h in s if 0 <= h < fingerprint.LIMIT]
+    assert any(not inside(x.sa) for x in rows_)
+    for x in rows_:
+        both = sorted(set(inside(x.sa) + inside(x.sb)))
+        assert x.m == (both or [min(x.sa + x.sb)])
+
+
 def test_media(docs, odd, empty):
     for df in (docs, odd):
         for r, d in zip(sorted(media.stored(df).collect(), key=lambda r: (r.doc_id is not None, r.doc_id)), sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id))):

@@ -21,12 +21,16 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import small_batches
 
-TAG = re.compile(r"""<!--(?:.*?(?:--!?>)|>|->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)""", re.S)
-ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A tag whose attribute values may be quoted; what is between quotes that are never closed is read plainly. No step is ever tried twice.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>""")
+#: In a page with a tag that is never closed: up to the next sign of a tag.
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)([^<>]*+)(?:>|\Z|(?=<))")
+COMMENT_END = re.compile(r"--!?>")
+ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=\s|$))""", re.I)
 SPACE = re.compile(r"\s+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source area map".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source area map math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot munder mover munderover mspace mstyle mfenced semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select option title svg math iframe object canvas audio video noframes head".split())
+RAW = frozenset("script style noscript template textarea select option title svg annotation annotation-xml iframe object canvas audio video noframes head".split())
 UNPARSED = frozenset("script style textarea title iframe noframes xmp".split())
 MAIN = frozenset("article main".split())
 ASIDE = frozenset("nav header footer aside form menu dialog button fieldset".split())
@@ -36,7 +40,14 @@ ASIDE_NAME = frozenset(
     "comment comments commentlist disqus respond reply replies discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager skip copyright legal disclaimer form search tags toc".split()
 )
 ASIDE_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
-CLOSED_BY_BLOCK = frozenset("p".split())
+#: Parts of a longer name that tell of an aside only outside an article: "post-header" in one is its own.
+WEAK_PART = frozenset("head header top foot footer side search form tags toc legal copyright notice notices alert banner masthead nav menu skip reply signup login logo".split())
+#: What takes names in parts: "main-nav" on a div, not on a heading or a paragraph.
+BOXES = frozenset("div section ul ol dl table details aside center figure span".split())
+#: Elements of a head; any other one ends it.
+HEAD = frozenset("head title meta link style script base noscript template".split())
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HOLDS = {k: ("ul", "ol", "dl", "table", "tbody", "select") + (("tr",) if k in ("td", "th") else ()) for k in CLOSES}
 
 
 class Block(NamedTuple):
@@ -49,9 +60,9 @@ class Block(NamedTuple):
 
 
 #: The features of a block in the tree's order.
-FEATURES = ("in_main", "in_aside", "words", "link_density", "words_before", "density_before", "words_after", "density_after", "heading", "page_has_main")
-#: Labelled blocks: FEATURES, then 1 for main text. Lone text blocks off any article are content if they are long and not links, or stand between such blocks.
-LABELLED = np.array(
+FEATURES = ("in_main", "in_aside", "words", "link_density", "words_before", "density_before", "words_after", "density_after", "heading", "page_has_main", "page_longest")
+#: Labelled blocks: FEATURES, then 1 for main text. Text blocks off any article are content if they are long and not links, or stand between such blocks; on a page without any long block, short ones are.
+_ON_LONG_PAGES = np.array(
     [
         (1, 0, 40, 0.0, 6, 0.0, 55, 0.0, 0, 1, 1), (1, 0, 1, 0.0, 60, 0.0, 30, 0.0, 0, 1, 1), (1, 0, 6, 0.0, 3, 1.0, 80, 0.0, 1, 1, 1), (1, 0, 25, 0.4, 40, 0.0, 10, 0.0, 0, 1, 1),
         (1, 0, 4, 1.0, 50, 0.0, 50, 0.0, 0, 1, 1), (1, 0, 2, 0.0, 0, 0.0, 5, 0.0, 0, 1, 1), (1, 0, 120, 0.05, 90, 0.0, 0, 0.0, 0, 1, 1), (1, 0, 3, 0.0, 7, 0.0, 12, 1.0, 0, 1, 1),
@@ -68,6 +79,16 @@ LABELLED = np.array(
         (0, 0, 8, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0), (0, 0, 5, 0.0, 1, 1.0, 6, 1.0, 0, 0, 0), (0, 0, 7, 0.0, 40, 0.0, 2, 1.0, 0, 0, 0), (0, 0, 40, 0.6, 40, 0.0, 30, 0.0, 0, 0, 0), (0, 0, 9, 0.5, 2, 0.0, 40, 0.0, 0, 0, 0), (0, 0, 3, 0.0, 2, 1.0, 3, 0.0, 0, 0, 0),
     ]
 )
+#: Blocks of pages whose longest block (the last feature) is short.
+_ON_SHORT_PAGES = np.array(
+    [
+        (0, 0, 3, 0.0, 0, 0.0, 5, 0.0, 1, 0, 9, 1), (0, 0, 9, 0.0, 3, 0.0, 7, 0.0, 0, 0, 9, 1), (0, 0, 7, 0.0, 9, 0.0, 0, 0.0, 0, 0, 9, 1), (0, 0, 2, 0.0, 0, 0.0, 4, 0.0, 1, 0, 4, 1), (0, 0, 4, 0.0, 2, 0.0, 3, 0.0, 0, 0, 4, 1), (0, 0, 3, 0.0, 4, 0.0, 0, 0.0, 0, 0, 4, 1),
+        (0, 0, 1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 1), (0, 0, 6, 0.0, 2, 1.0, 8, 0.0, 1, 0, 8, 1), (0, 0, 8, 0.0, 6, 0.0, 2, 1.0, 0, 0, 8, 1), (0, 0, 10, 0.1, 1, 1.0, 1, 1.0, 0, 0, 10, 1), (0, 0, 5, 0.2, 10, 0.1, 11, 0.0, 0, 0, 11, 1), (0, 0, 2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 2, 1),
+        (0, 0, 2, 1.0, 6, 0.0, 8, 0.0, 0, 0, 8, 0), (0, 0, 1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 5, 0), (0, 0, 4, 0.8, 3, 0.0, 5, 0.0, 0, 0, 5, 0), (0, 1, 5, 0.0, 3, 0.0, 4, 0.0, 0, 0, 6, 0), (0, 1, 9, 0.0, 0, 0.0, 7, 0.0, 0, 0, 7, 0), (0, 1, 2, 0.0, 9, 0.0, 9, 0.0, 1, 0, 9, 0),
+        (0, 0, 6, 0.0, 4, 0.0, 3, 0.0, 0, 1, 9, 0), (0, 0, 3, 0.0, 9, 0.0, 0, 0.0, 1, 1, 9, 0), (1, 0, 5, 0.0, 2, 0.0, 6, 0.0, 0, 1, 6, 1), (1, 1, 5, 0.0, 2, 0.0, 6, 0.0, 0, 1, 6, 0), (1, 0, 2, 1.0, 2, 0.0, 6, 0.0, 0, 1, 6, 1),
+    ]
+)
+LABELLED = np.concatenate([np.insert(_ON_LONG_PAGES, len(FEATURES) - 1, np.maximum(40, _ON_LONG_PAGES[:, [2, 4, 6]].max(1)), 1), _ON_SHORT_PAGES])
 
 
 @cache
@@ -100,27 +121,30 @@ def classify(features: tuple[float, ...]) -> int:
     return node
 
 
-def _names(attrs: str) -> tuple[frozenset[str], str, bool]:
-    """What class and id say, role, whether the element is hidden."""
+def _names(attrs: str) -> tuple[frozenset[str], frozenset[str], str, bool]:
+    """The words of class and id, their parts, role, whether the element is hidden."""
     names: set[str] = set()
+    pieces: set[str] = set()
     role, hidden = "", False
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "itemprop"):
             for token in value.split():
                 names.add(token.replace("-", "").replace("_", ""))
-                names.update(x for x in re.split(r"[-_]+", token) if x)
+                pieces.update(x for x in re.split(r"[-_]+", token) if x)
         elif key == "role":
             role = value
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
             hidden = True
-    return frozenset(names), role, hidden
+    return frozenset(names), frozenset(pieces), role, hidden
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, empty ones left out."""
+    """The text blocks of a page in order, empty ones left out. Time grows with the page's length alone, however broken it is."""
     out: list[Block] = []
     stack: list[tuple[str, int, int, int, int, int]] = []  # tag, and main, aside, raw, link, heading before it
+    where: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
+    solid: list[int] = []  # where the elements that are not inline are
     main = aside = raw = link = heading = 0
     parts: list[str] = []
     linked: list[str] = []
@@ -137,64 +161,93 @@ def blocks(page: str) -> list[Block]:
     def close(to: int) -> None:
         nonlocal main, aside, raw, link, heading
         _, main, aside, raw, link, heading = stack[to]
-        del stack[to:]
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not raw:
-            text = page[at:stop]
+        while len(stack) > to:
+            name = stack.pop()[0]
+            where[name].pop()
+            if name not in INLINE:
+                solid.pop()
+
+    def last(*names: str) -> int:
+        """Where the innermost of these is open, or -1."""
+        return max((w[-1] for n in names if (w := where.get(n))), default=-1)
+
+    def say(text: str) -> None:
+        if raw and where.get("head") and len(stack) == where["head"][-1] + 1 and not text.isspace():
+            close(where["head"][-1])  # text is no part of a head
+        if not raw:
             parts.append(text)
             if link:
                 linked.append(text + " ")
-        if not m:
+
+    at, end, tag = 0, len(page), TAG
+    while at < end:
+        stop = page.find("<", at)
+        if stop < 0:
+            stop = end
+        if stop > at:
+            say(page[at:stop])
+        if stop == end:
             break
-        at = m.end()
-        if m[2] is None:
+        sign = page[stop + 1 : stop + 2]
+        if sign == "!" or sign == "?":
+            if page.startswith("<!--", stop):
+                if page.startswith((">", "->"), stop + 4):
+                    at = page.index(">", stop) + 1
+                else:
+                    m = COMMENT_END.search(page, stop + 4)
+                    at = m.end() if m else end
+            else:
+                at = page.find(">", stop) + 1 or end
             continue
+        m = tag.match(page, stop)
+        if not m and (sign.isalpha() or sign == "/") and sign.isascii():
+            if page[stop + 2 : stop + 3].isalpha() or sign != "/":
+                tag = LOOSE  # this tag is never closed: from here on quotes hold nothing together
+                m = tag.match(page, stop)
+            else:  # "</" and no name: a comment up to the next >
+                at = page.find(">", stop) + 1 or end
+                continue
+        if not m:
+            say("<")
+            at = stop + 1
+            continue
+        at = m.end()
         name = m[2].lower()
         if m[1]:
-            if name == "p" and not any(e[0] == "p" for e in stack):
+            if name == "p" and not where.get("p"):
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if name not in INLINE:
-                        flush()
+            if (i := last(name)) >= 0:
+                if name not in INLINE:
+                    flush()
                     close(i)
-                    break
-                if name in INLINE and stack[i][0] not in INLINE:
-                    break  # an inline end tag doesn't close the blocks around it
+                elif not solid or i > solid[-1]:
+                    close(i)  # an inline end tag doesn't close the blocks around it
             continue
+        if where.get("head") and name not in HEAD:
+            close(where["head"][-1])
         if name not in INLINE:
             flush()
             # Inline elements and paragraphs left open end where a block begins.
-            if name not in ("ins", "del"):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            if name not in ("ins", "del") and solid and stack[solid[-1]][0] == "p":
+                close(solid[-1])
         elif name == "br":
             parts.append(" ")
             if link:
                 linked.append(" ")
         if name in VOID:
             continue
-        names, role, hidden = _names(m[3]) if m[3] else (frozenset(), "", False)
-        if name == "li" or name in ("dt", "dd", "tr", "td", "th", "option"):
-            peers = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}[name]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "select") or (stack[i][0] == "tr" and name in ("td", "th")):
-                    break
-                if stack[i][0] in peers:
-                    close(i)
-                    break
+        names, pieces, role, hidden = _names(m[3]) if m[3] else (frozenset(), frozenset(), "", False)
+        if name in CLOSES and (i := last(*CLOSES[name])) > last(*HOLDS[name]):
+            close(i)
+        where.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            solid.append(len(stack))
         stack.append((name, main, aside, raw, link, heading))
-        is_main = name in MAIN or role == "main" or (name in ("div", "section", "td") and bool(names & MAIN_NAME) and not names & ASIDE_NAME)
+        said = names | pieces
+        is_main = name in MAIN or role == "main" or (name in ("div", "section", "td") and bool(said & MAIN_NAME) and not said & ASIDE_NAME)
         own_header = name == "header" and main > 0
-        is_aside = (name in ASIDE and not own_header) or role in ASIDE_ROLE or (name not in ("html", "body", "article", "main") and not own_header and bool(names & ASIDE_NAME))
+        named = names & ASIDE_NAME or (name in BOXES and pieces & (ASIDE_NAME - WEAK_PART if main else ASIDE_NAME))
+        is_aside = (name in ASIDE and not own_header) or role in ASIDE_ROLE or (name not in ("html", "body", "article", "main") and not own_header and bool(named))
         if name == "body":
             raw = 0
         main += is_main
@@ -203,13 +256,18 @@ def blocks(page: str) -> list[Block]:
         link += name == "a"
         heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
         if name in UNPARSED:
-            ending = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            ending = _ending(name).search(page, at)
             at = ending.end() if ending else end
             close(len(stack) - 1)
     flush()
     return out
 
 
+@cache
+def _ending(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I)
+
+
 def main_text(page: str | None) -> str:
     """The blocks that the tree takes for main text, joined by one space; empty for null."""
     if not page:
@@ -217,11 +275,12 @@ def main_text(page: str | None) -> str:
     bs = blocks(page)
     has_main = int(any(b.in_main and not b.in_aside for b in bs))
     density = [b.linked / b.words for b in bs]
+    longest = max((b.words for b, d in zip(bs, density, strict=True) if not b.in_aside and d < 0.5), default=0)
     out = []
     for i, b in enumerate(bs):
         before = (bs[i - 1].words, density[i - 1]) if i else (0, 0.0)
         after = (bs[i + 1].words, density[i + 1]) if i + 1 < len(bs) else (0, 0.0)
-        if classify((b.in_main, b.in_aside, b.words, density[i], *before, *after, b.heading, has_main)):
+        if classify((b.in_main, b.in_aside, b.words, density[i], *before, *after, b.heading, has_main, longest)):
             out.append(b.text)
     return " ".join(out)
 

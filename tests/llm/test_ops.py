@@ -413,6 +413,37 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
 
+def test_html_of_odd_pages():
+    """Legal but unusual markup keeps its text, as a browser shows it."""
+    t = html.main_text
+    assert t("<article><p>One <!--> two <!-- x --> three --></p></article>") == "One two three -->"
+    assert t("<html><head><title>T</title><article><p>No end of the head</p></article>") == "No end of the head"
+    assert t("<title>T</title><meta charset=utf-8><article>Plain</article>") == "Plain"
+    assert t('<article><h1 class="post-header">Head</h1><p class="intro">Text</p><div class="post-footer-share">Share</div></article>') == "Head Text"
+    assert t("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "So x=2 holds"
+    assert t("<body><h1>Short page</h1><p>One line here.</p><p>Another one.</p></body>") == "Short page One line here. Another one."
+    assert t('<body><nav><a href="/">Home</a></nav><h1>Short page</h1><p>One line.</p><footer>Foot</footer>') == "Short page One line."
+    assert t("<article>1 < 2 and <3 </> x</article>") == "1 < 2 and <3 x"
+    assert t('<article><p title="a > b">Quoted</p><p title="open>Then</p></article>') == "Quoted Then"
+    assert t("<article><svg><text>no</text></svg><p>a</p><table><tr><td>b<td>c<tr><td>d</table></article>") == "a b c d"
+
+
+@pytest.mark.parametrize("part, more", [("<i>", "</p>"), ("<a \"x'", ""), ("<a b=\"", ""), ("<a b='\"", ">"), ("<div class=x>", "</b>"), ("<b><div>", "</b>"), ("<p><span>", "</li>"), ("<li>", "<td>"), ("<!--", "-"), ("</", ">"), ("<h", "<"), ("&", "x"), ("<style>", "</styl>"), ("<a class", " ")])
+def test_html_in_linear_time(part, more):
+    import time
+
+    def best(n):
+        page = "<article>text " + part * n + more * n
+        out = []
+        for _ in range(3):
+            at = time.perf_counter()
+            html.main_text(page)
+            out.append(time.perf_counter() - at)
+        return min(out)
+
+    assert best(16_000) < 3.2 * best(8_000) + 0.05
+
+
 @pytest.mark.parametrize("n, top", [(0, 10), (1, 1), (500, 500), (500, (1 << 64) - 1), (3000, 7)])
 def test_elias_fano(n, top):
     r = np.random.default_rng(n)

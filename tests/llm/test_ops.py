@@ -397,6 +397,47 @@ def test_sniffing_pdfs():
     assert got == [media.Medium("application/pdf", 0, len(updated) - 1), media.Medium("audio/wav", len(updated), len(wav)), media.Medium("application/pdf", at, len(pdf) - 1), media.Medium("application/pdf", at + len(pdf), len(pdf) - 1)]
 
 
+def test_sniffing_in_linear_time():
+    """Many headers that lead nowhere, or all to one end, cost no more than their bytes."""
+    import time
+
+    finder = media.automaton()
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I", 13) + b"IHDR"
+    units = [b"%PDF-1.4 ", b"%PDF-1.4 startxref 1 ", b"stream\n%PDF-1.4 startxref ", b"PK\x03\x04abcdefgh", b"PK\x03\x04PK\x05\x06" + b"\x01" * 18, png, b"GIF89a" + b"\1" * 8 + b"!\1\1a", b"\xff\xd8\xff\xe0\0\4ab\xff\xc0\0\4ab\xff\xda\0\4ab", b"\x1f\x8b\x08\0\0\0\0\0\0\0", b"RIFF\x40\0\0\0WAVE"]
+    for unit in units:
+        for tail in (b"", b"startxref 1 %%EOF"):
+
+            def best(n, unit=unit, tail=tail):
+                out = []
+                for _ in range(3):
+                    at = time.perf_counter()
+                    media.sniff(unit * n + tail, finder)
+                    out.append(time.perf_counter() - at)
+                return min(out)
+
+            assert best(16_000) < 3.2 * best(8_000) + 0.05, unit
+
+
+def test_sniffing_between_files():
+    """A picture between two documents is carved, and so are archives one after another."""
+    import io
+    import zipfile
+
+    pdf, finder = b"%PDF-1.4\nx\nstartxref\n9\n%%EOF", media.automaton()
+    png = b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(d)) + n + d + struct.pack(">I", zlib.crc32(n + d)) for n, d in ((b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"IEND", b"")))
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.txt", "hello")
+        f.writestr("b.txt", "world")
+    z = z.getvalue()
+    data = pdf + b"--" + png + b"--" + pdf + z + b"-" + z
+    want, at = [], 0
+    for kind, part, gap in (("application/pdf", pdf, 2), ("image/png", png, 2), ("application/pdf", pdf, 0), ("application/zip", z, 1), ("application/zip", z, 0)):
+        want.append(media.Medium(kind, at, len(part)))
+        at += len(part) + gap
+    assert media.sniff(data, finder) == want
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
     <header><a href="/">Site</a></header><nav><ul><li><a>Menu</a></ul></nav><div id="cookie-notice"><p>We use cookies to make this long site work better for everyone</p></div>

@@ -6,7 +6,8 @@ is its rank in its task plus a running sum over tasks. The permutation of [0, N)
 Feistel rounds over the smallest even-bit domain that holds N, walked until it falls inside:
 a bijection computed from the key alone, so no shuffle table exists anywhere. Slot s is record
 s mod R of shard s div R, at byte (s mod R) * stride: a trainer that has read up to any slot
-seeks there. Shards that already hold the same bytes are left as they are.
+seeks there. Slots are cut into ranges of whole shards, as many as the session shuffles to at
+most, and each range is one task. Shards that already hold the same bytes are left as they are.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def materialise(docs: DataFrame, out: str | None = None, tokenizer: str | None =
     text are read. A task holds one shard (shard_rows * size * 2 bytes) at a time.
     """
     spark = docs.sparkSession
-    out = out or shared_dir(spark, "order-shards")
+    out = out or shared_dir(spark, "order-shards", lasting=True)
     fs, path = open_fs(out)
     fs.create_dir(path, recursive=True)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -150,10 +151,13 @@ def materialise(docs: DataFrame, out: str | None = None, tokenizer: str | None =
     counts = seqs.groupBy("part").agg(F.count("*").alias("n"))
     n = seqs.count()
     bases = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = seqs.join(F.broadcast(bases), "part").select((F.col("base") + F.col("j")).alias("i"), "n_ids", "ids", "doc_ids")
+    # One row a task that read; beyond a million of them they are shuffled, not broadcast.
+    bases = F.broadcast(bases) if counts.count() <= 1_000_000 else bases
+    rows = seqs.join(bases, "part").select((F.col("base") + F.col("j")).alias("i"), "n_ids", "ids", "doc_ids")
     shards = max(1, -(-n // shard_rows))
     rows = rows.mapInArrow(_slots(n, key), "slot long, n_ids long, ids binary, doc_ids array<long>")
-    rows = rows.repartition(shards, F.floor(F.col("slot") / shard_rows)).sortWithinPartitions("slot")
+    ranges = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartitionById(ranges, F.floor(F.floor(F.col("slot") / shard_rows) * ranges / shards).cast("int")).sortWithinPartitions("slot")
     return rows.mapInArrow(_write(out, size, shard_rows, n, pad), OUT)
 
 

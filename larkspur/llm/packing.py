@@ -78,16 +78,22 @@ def combinations(lengths: np.ndarray, window: int, most: int = 20_000) -> np.nda
     return np.array(sorted(out, reverse=True)[:most], np.int64).reshape(-1, 4)
 
 
-def repeats(combos: np.ndarray, hist: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Whole repeat counts: minimise |A x - hist|, x >= 0, by multiplicative updates (A's columns count a combination's lengths); then round down within the histogram."""
+def repeats(combos: np.ndarray, hist: np.ndarray, steps: int = 2000, still: float = 1e-5) -> np.ndarray:
+    """Whole repeat counts: minimise |A x - hist|, x >= 0, by multiplicative updates (A's columns count a combination's lengths) until ten of them change the residual by less than `still` of it; then round down within the histogram."""
     if not len(combos):
         return np.zeros(0, np.int64)
     used = combos > 0
     grow = lambda v: (v[combos] * used).sum(1)  # A' v
     aim = grow(hist.astype(float))
     x = aim / used.sum(1) / max(1, len(combos))
-    for _ in range(steps):
+    last = np.inf
+    for step in range(steps):
         have = np.bincount(combos.ravel(), np.repeat(x, 4) * used.ravel(), len(hist))
+        if step % 10 == 0:
+            residual = float(np.linalg.norm(have - hist))
+            if residual >= last * (1 - still) or residual < 1e-9:
+                break
+            last = residual
         x *= aim / np.maximum(grow(have), 1e-12)
     left, n = hist.copy(), np.zeros(len(combos), np.int64)
     for i in np.argsort(-x, kind="stable"):

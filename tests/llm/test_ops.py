@@ -258,6 +258,34 @@ def test_training_order(docs, odd, empty, tmp_path):
     assert training_order.materialise(empty).count() == 0 and training_order.materialise(odd).count() > 0
 
 
+def test_training_order_against_plain(docs, tmp_path, monkeypatch):
+    """Every slot holds the ids that a plain permutation of the plainly cut sequences gives it, however many shards a range has."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    one = docs.coalesce(1)
+    stream = [i for r in one.collect() for i in [*tok.encode(r.text or "", add_special_tokens=False).ids, training_order.END]]
+    seqs = [stream[i : i + 32] for i in range(0, len(stream), 32)]
+
+    def slot(i, n, key):
+        half = max(1, ((n - 1).bit_length() + 1) // 2)
+        while True:
+            left, right = i >> half, i & ((1 << half) - 1)
+            for k in common.mix64(np.arange(1, 5, dtype=np.uint64) + np.uint64(key * 0x9E3779B97F4A7C15 % (1 << 64))).tolist():
+                left, right = right, left ^ (int(common.mix64(np.array([(right + k) % (1 << 64)], np.uint64))[0]) & ((1 << half) - 1))
+            i = left << half | right
+            if i < n:
+                return i
+
+    out = f"file://{tmp_path}/plain"
+    got = training_order.materialise(one, out, size=32, key=99, shard_rows=3).collect()
+    assert len(got) == len(seqs) and len(list((tmp_path / "plain").iterdir())) == -(-len(seqs) // 3)
+    records = training_order.read_records(out, 0, len(seqs), 32, 3)
+    for i, ids in enumerate(seqs):
+        assert records[slot(i, len(seqs), 99)].tolist() == ids + [training_order.PAD] * (32 - len(ids))
+
+
 def test_training_order_again(docs, tmp_path):
     """Shards of another key in the same folder are replaced."""
     out = f"file://{tmp_path}/shards"
@@ -594,6 +622,47 @@ def test_language_model_of_all_pairs(spark, tmp_path):
     assert got and all(abs(x - want) < 1e-3 * len(seq) for x in got)
 
 
+def test_toxicity_against_plain_loops():
+    """Scores by plain sums over words, filters and positions, and a worker's table is that of the model it scores with."""
+    r = random.Random(2)
+    sample = [(" ".join([*prose(r, 12).split(), *(["grubble"] if i % 2 else [])]).encode(), i % 2, None) for i in range(60)]
+    a, b = toxicity.fit(sample, (30, 30)), toxicity.fit([(t, 1 - y, x) for t, y, x in sample], (30, 30), seed=8)
+    texts_ = [b"grubble w1 w2", b"", b"w3", b"W1 w2 " + b"x" * 500]
+
+    def plain(m, text):
+        rows_ = [sum(m.E[i] for i in toxicity.parts(w)) for w in text.split()] or [m.E[0]]
+        out, c = float(m.base[0]), 0
+        zero = np.zeros(toxicity.DIM)
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                top = max(sum(float(np.dot((rows_ + [zero] * 2)[i + j], m.W[:, c + j * toxicity.FILTERS + f])) for j in range(width)) for i in range(len(rows_)))
+                out += max(0.0, top + float(m.bias[k * toxicity.FILTERS + f])) * float(m.out[k * toxicity.FILTERS + f])
+            c += width * toxicity.FILTERS
+        return 1 / (1 + np.exp(-out))
+
+    for m in (a, b, a):
+        assert np.allclose(m.score(texts_), [plain(m, t) for t in texts_], atol=1e-4)
+    del b
+    for seed in range(3):  # models at whatever addresses are free
+        assert np.allclose(toxicity.fit(sample, (30, 30), epochs=1, seed=seed).score(texts_), [plain(toxicity.fit(sample, (30, 30), epochs=1, seed=seed), t) for t in texts_], atol=1e-4)
+
+
+def test_quality_against_plain_loops():
+    """The forward pass, passage by passage."""
+    r = random.Random(2)
+    m = quality.Model()
+    texts_ = [prose(r, n).encode() for n in (1, 64, 65, 200)] + [b"", b"y" * 900]
+    x, first = quality.encode(texts_, quality.WordStats())
+    got = m.score(texts_, quality.WordStats())
+    for d, (a, b) in enumerate(zip(first, [*first[1:], len(x)])):
+        h = [np.tanh(row @ m.p["A"] + m.p["a"]) for row in x[a:b]]
+        e = [float(((np.tanh(v @ m.p["V"]) / (1 + np.exp(-(v @ m.p["U"])))) @ m.p["w"])[0]) for v in h]
+        weight = np.exp(e) / np.exp(e).sum()
+        z = sum(w * v for w, v in zip(weight, h))
+        assert abs(got[d] - 1 / (1 + np.exp(-(z @ m.p["c"] + m.p["b"])[0]))) < 1e-5
+    assert [len(t.split()) for t in texts_] == [1, 64, 65, 200, 0, 1] and np.diff([*first, len(x)]).tolist() == [1, 1, 2, 4, 1, 1]
+
+
 def _labelled(kind):
     r = random.Random(9)
     out, labels = [], []

@@ -12,8 +12,11 @@
    components under the distance threshold is confirmed or refuted on full sets.
 
 A key with more than BLOCK nodes is split into blocks, each with its own hub, and the hubs
-are compared among themselves. Then all its nodes off the main component, whether they met a
-candidate in their own block or not, visit the other blocks.
+are compared among themselves. What keys of more than DENSE nodes have left is joined on full
+sets, exactly and without visiting every block: under one order of all shingles, rarest first,
+two sets that are similar enough share one of the first shingles of either (prefix filtering),
+the smaller one's among its very first. Texts that share a template, but are not similar
+enough, have their own rare shingles there, and never meet.
 """
 
 from __future__ import annotations
@@ -29,11 +32,15 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import WORD, WordHashes, keep, mix64, small_batches, texts, words
 from larkspur.llm.components import components
 
-SHINGLE, SYMBOLS, EXTRA, CHUNK, BLOCK, LEADS, FAMILY = 5, 32, 64, 4, 2048, 512, 4096
+SHINGLE, SYMBOLS, CHUNK, BLOCK, DENSE = 5, 32, 4, 2048, 256
+#: A task that confirms pairs holds so many nodes' sets at most, and so many shingles of them, or one set.
+FAMILY, LEADS, HELD = 4096, 512, 8_000_000
+#: Sets that the order of shingles is learned from (any order gives the same links), and its count buckets.
+ORDERED, BUCKETS = 4096, 1 << 18
 THRESHOLD = 2 * SYMBOLS // CHUNK - 1
 _MUL = mix64(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
-_PERM = mix64(np.arange(1, 1 + SYMBOLS + EXTRA, dtype=np.uint64)) | np.uint64(1)
-SIG_BYTES = 2 * SYMBOLS + EXTRA
+_PERM = mix64(np.arange(1, 1 + SYMBOLS, dtype=np.uint64)) | np.uint64(1)
+SIG_BYTES = 2 * SYMBOLS
 NODE_SCHEMA = "doc_id long, text_key long, node binary, n long, sig binary"
 
 
@@ -50,9 +57,9 @@ def shingles(ws: list[bytes], hashes: WordHashes) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """32 symbols of 16 bits, then 64 of 8: the smallest value under each of 96 multiplicative orders of already mixed hashes, folded."""
+    """32 symbols of 16 bits: the smallest value under each of 32 multiplicative orders of already mixed hashes, folded."""
     low = mix64(np.array([(s * p).min() for p in _PERM], np.uint64))
-    return np.concatenate([(low[:SYMBOLS] >> np.uint64(48)).astype(np.uint16).view(np.uint8), (low[SYMBOLS:] >> np.uint64(56)).astype(np.uint8)])
+    return (low >> np.uint64(48)).astype(np.uint16).view(np.uint8)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +79,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, sig) to one row a key: chunk, symbol left out, the other three symbols."""
     for b in small_batches(batches, 4096):
         sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, SIG_BYTES)
-        sig = np.ascontiguousarray(sig[:, : 2 * SYMBOLS]).view(np.uint16).astype(np.uint64)
+        sig = sig.view(np.uint16).astype(np.uint64)
         keys = []
         for c in range(SYMBOLS // CHUNK):
             for out in range(CHUNK):
@@ -109,18 +116,14 @@ class _Run:
     def __init__(self, run: list[tuple], n: int, sig: int, percent: int):
         raw = np.frombuffer(b"".join(r[sig] for r in run), np.uint8).reshape(len(run), SIG_BYTES)
         self.n = np.array([r[n] for r in run], np.int64)
-        self.index, self.more, self.percent = np.ascontiguousarray(raw[:, : 2 * SYMBOLS]).view(np.uint16), raw[:, 2 * SYMBOLS :], percent
-        p, k = percent / 100, SYMBOLS + EXTRA
-        self.total = int(k * (1 - p) + 5 * (k * p * (1 - p)) ** 0.5)
+        self.index, self.percent = raw.view(np.uint16), percent
 
     def near(self, i: int, upto: int | None = None) -> np.ndarray:
-        """Which nodes (the first `upto`) are candidates of node i: index symbols within the threshold, all symbols within five deviations of the similarity, sizes equal enough for it."""
+        """Which nodes (the first `upto`) are candidates of node i: signatures within the threshold, sizes equal enough."""
         n = self.n[:upto]
         d = (self.index[:upto] != self.index[i]).sum(1)
         ok = (d <= THRESHOLD) & (100 * np.minimum(n, self.n[i]) >= self.percent * np.maximum(n, self.n[i]))
         ok[i : i + 1] = False
-        at = np.flatnonzero(ok)
-        ok[at] = d[at] + (self.more[at] != self.more[i]).sum(1) <= self.total
         return ok
 
 
@@ -161,7 +164,69 @@ def _hub_pairs(percent: int, upper: bool):
 
 def _cross_pairs(percent: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, block, node, n, sig, root, rest, home), a block's own nodes (home -1) before its visitors by their home block: to candidate pairs of different roots, one of them off the key's main component.
+        """Rows (key, node, n, sig, root, rest) of keys of one block: to candidate pairs of different roots, one of them off the key's main component."""
+        for run in _runs(batches, ("key",)):
+            r = _Run(run, 2, 3, percent)
+            roots: dict[bytes, int] = {}
+            root = np.array([roots.setdefault(x[4], len(roots)) for x in run])
+            rest = np.array([x[5] for x in run])
+            at = np.arange(len(run))
+            # Of two nodes off the main component, the later one meets the other, not both.
+            pairs = [(run[i][1], run[j][1]) for i in np.flatnonzero(rest) for j in np.flatnonzero(r.near(int(i)) & (root != root[i]) & (~rest | (at > i)))]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*pairs, strict=True)], ["a", "b"])
+
+    return go
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of the sets (set) have a shingle in each bucket."""
+    total = np.zeros(BUCKETS, np.int32)
+    for b in batches:
+        for s in b.column(0).to_pylist():
+            np.add.at(total, _bucket(np.frombuffer(s, np.uint64)), 1)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+
+def prefix(s: np.ndarray, percent: int, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The set's shingles that it looks with, rarest first, and how many of them it is found by among sets no smaller.
+
+    Sets x and y, |x| <= |y|, that are similar enough have 100 * common >= percent * |y| and
+    (100 + percent) * common >= percent * (|x| + |y|) >= 2 * percent * |x|, so the first
+    |y| - least + 1 of y and the first |x| - least + 1 of x meet.
+    """
+    n = len(s)
+    look, found = n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+    first = np.lexsort((s, counts[_bucket(s)]))[:look]
+    return s[first], found
+
+
+def _prefixes(percent: int, counts):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (node, root, set) to one row a prefix shingle."""
+        of = np.frombuffer(counts.value, np.int32)
+        for b in small_batches(batches, 256):
+            key, rows, n, index = [], [], [], []
+            for i, s in enumerate(b.column(2).to_pylist()):
+                s = np.frombuffer(s, np.uint64)
+                tokens, found = prefix(s, percent, of)
+                key.append(tokens.view(np.int64))
+                rows.append(np.full(len(tokens), i))
+                n.append(np.full(len(tokens), len(s)))
+                index.append(np.arange(len(tokens)) < found)
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(n)), pa.array(np.concatenate(index))], ["key", "node", "root", "n", "index"])
+
+    return go
+
+
+def _prefix_pairs(percent: int):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, block, node, n, root, index, rest, home), a block's own nodes (home -1) before its visitors by their home block: to pairs of different roots of which the smaller set is found by the key.
 
         Held are a block's own nodes and the visitors from one other block.
         """
@@ -169,29 +234,55 @@ def _cross_pairs(percent: int):
         for run in _runs(batches, ("key", "block", "home")):
             if at != run[0][:2]:
                 at, own = run[0][:2], []
-            first = len(own)  # 0: the own nodes themselves
-            if run[0][7] < 0:
+            inner = run[0][7] < 0
+            if inner:
                 own = run
             elif not own:
                 continue
-            both = own + run if first else own
-            r = _Run(both, 3, 4, percent)
+            both = own if inner else own + run
             roots: dict[bytes, int] = {}
-            root = np.array([roots.setdefault(x[5], len(roots)) for x in both])
-            rest = np.array([x[6] for x in both])
-            # Of two nodes off the main component, one meets the other, not both: the later one in a block, the one from a lower block between two.
-            late = np.arange(len(own)) if not first else np.full(len(own), len(both) if run[0][7] < run[0][1] else -1)
+            root = np.array([roots.setdefault(x[4], len(roots)) for x in both])
+            n, index, rest = (np.array([x[k] for x in both]) for k in (3, 5, 6))
+            o = slice(0, len(own))
+            # Of two nodes off the main component one meets the other: the later one in a block, the one from a lower block between two.
+            late = np.arange(len(own)) if inner else np.full(len(own), len(both) if run[0][7] < run[0][1] else -1)
             a, b = [], []
-            for i in np.flatnonzero(rest[first:]) + first:
-                for j in np.flatnonzero(r.near(int(i), len(own)) & (root[: len(own)] != root[i]) & (~rest[: len(own)] | (late > i))):
-                    a.append(both[i][2])
-                    b.append(both[j][2])
+            for i in np.flatnonzero(rest[0 if inner else len(own) :]) + (0 if inner else len(own)):
+                ok = (root[o] != root[i]) & (~rest[o] | (late > i)) & (100 * np.minimum(n[o], n[i]) >= percent * np.maximum(n[o], n[i]))
+                ok &= ((n[o] <= n[i]) & index[o]) | ((n[o] >= n[i]) & index[i])
+                hits = np.flatnonzero(ok).tolist()
+                a += [both[i][2]] * len(hits)
+                b += [both[j][2] for j in hits]
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return go
 
 
+def _mains(rows: DataFrame) -> DataFrame:
+    """Per key of rows (key, root) that has several roots: the most frequent one, and how many rows there are."""
+    return rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots"), F.sum("c").alias("size")).where("roots > 1").select("key", "main", "size")
+
+
+def hot_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (node, root) of different roots that may be similar enough, by their full sets; no other pair of them is."""
+    spark = nodes.sparkSession
+    some = nodes.select("node").orderBy("node").limit(ORDERED)
+    counts = np.zeros(BUCKETS, np.int32)
+    for r in sets.join(F.broadcast(some), "node").select("set").repartition(8).mapInArrow(_tally, "counts binary").collect():
+        counts += np.frombuffer(r["counts"], np.int32)
+    shared = spark.sparkContext.broadcast(counts.tobytes())
+    rows = nodes.join(sets, "node").select("node", "root", "set").mapInArrow(_prefixes(percent, shared), "key long, node binary, root binary, n long, index boolean")
+    rows = keep(rows, "nd-prefixes")
+    rows = rows.join(_mains(rows), "key").withColumn("rest", F.col("root") != F.col("main"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.withColumn("home", F.pmod(F.hash("node"), blocks))
+    rows = rows.withColumn("block", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))))
+    rows = rows.withColumn("home", F.when(F.col("home") == F.col("block"), -1).otherwise(F.col("home"))).select("key", "block", "node", "n", "root", "index", "rest", "home")
+    rows = rows.repartition(_parts(rows), "key", "block").sortWithinPartitions("key", "block", "home", "node")
+    return rows.mapInArrow(_prefix_pairs(percent), "a binary, b binary")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in small_batches(batches):
@@ -229,16 +320,16 @@ def _confirm(percent: int):
     return go
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, family: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b) whose full sets are similar enough.
 
     Pairs are confirmed where their family is (the component of the hub candidates), so that
-    a set travels once to each block of LEADS leads, not once a pair. A task holds the sets of
-    one block's leads; what they are compared with streams past.
+    a set travels once to each block of leads, not once a pair. A task holds the sets of one
+    block's leads, about LEADS and HELD shingles; what they are compared with streams past.
     """
     pairs = pairs.join(family, pairs["a"] == family["node"], "left").select(F.coalesce("root", "a").alias("site"), "a", "b")
-    lead = pairs.select("site", "a").distinct()
-    many = lead.groupBy("site").agg(F.ceil(F.count("*") / LEADS).cast("int").alias("blocks"))
+    lead = pairs.select("site", "a").distinct().join(sizes.withColumnRenamed("node", "a"), "a")
+    many = lead.groupBy("site").agg(F.greatest(F.ceil(F.count("*") / LEADS), F.ceil(F.sum("n") / HELD)).cast("int").alias("blocks"))
     pairs = pairs.join(many, "site").withColumn("block", F.pmod(F.hash("a"), F.col("blocks")))
     none = F.lit(None).cast("array<binary>")
     lead = pairs.select("site", "block", F.col("a").alias("node")).distinct().withColumn("leads", none)
@@ -273,13 +364,14 @@ def _confirm_family(percent: int):
     return go
 
 
-def confirmed_pairs(pairs: DataFrame, sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+def confirmed_pairs(pairs: DataFrame, sets: DataFrame, family: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b) whose full sets are similar enough.
 
-    Pairs inside a family of at most FAMILY nodes meet the family's sets in one task, each set
-    sent once; pairs of larger families, and between families, go through `confirmed`.
+    Pairs inside a family of at most FAMILY nodes and HELD shingles meet the family's sets in
+    one task, each set sent once; pairs of larger families, and between families, go through
+    `confirmed`.
     """
-    of = family.groupBy("root").agg((F.count("*") <= FAMILY).alias("small"))
+    of = family.join(sizes, "node").groupBy("root").agg(((F.count("*") <= FAMILY) & (F.sum("n") <= HELD)).alias("small"))
     site = family.join(of, "root")
     left = site.select(F.col("node").alias("a"), F.col("root").alias("site"), "small")
     right = site.select(F.col("node").alias("b"), F.col("root").alias("other"))
@@ -289,7 +381,7 @@ def confirmed_pairs(pairs: DataFrame, sets: DataFrame, family: DataFrame, percen
     held = sets.join(left.withColumnRenamed("a", "node"), "node").join(inside.select("site").distinct(), "site", "left_semi")
     rows = held.select("site", F.lit(0).alias("kind"), F.col("node").alias("a"), none.alias("b"), "set").union(inside.select("site", F.lit(1).alias("kind"), "a", "b", none.alias("set")))
     rows = rows.repartition(_parts(rows), "site").sortWithinPartitions("site", "kind")
-    return rows.mapInArrow(_confirm_family(percent), "a binary, b binary").union(confirmed(placed.where("not inside").select("a", "b"), sets, family, percent))
+    return rows.mapInArrow(_confirm_family(percent), "a binary, b binary").union(confirmed(placed.where("not inside").select("a", "b"), sets, family, sizes, percent))
 
 
 def _parts(df: DataFrame) -> int:
@@ -319,27 +411,32 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     upper = by(upper).mapInArrow(_hub_pairs(percent, True), schema)
     both = keep(found.where("kind < 2").select("kind", "a", "b").union(upper.select("kind", "a", "b")).distinct(), "nd-pairs")
     hubs = both.where("kind = 0").select("a", "b")
-    # A hot key's nodes may have their candidates in other blocks: without one so far, each is its own family.
-    family = keep(components(both).join(shared.where(hot).select("node").distinct(), "node", "full").select("node", F.coalesce("root", "node").alias("root")), "nd-family")
+    any_hot = shared.where(hot).limit(1).count() > 0
+    family = components(both)
+    if any_hot:  # their nodes may have candidates in other blocks: without one so far, each is its own family
+        family = family.join(shared.where(hot).select("node").distinct(), "node", "full").select("node", F.coalesce("root", "node").alias("root"))
+    family = keep(family, "nd-family")
 
     # The sets of all nodes that have or may have a candidate, once, for both rounds.
-    need = keep(family.select("node").join(nodes.select("node", "text_key"), "node"), "nd-need")
+    need = keep(family.select("node").join(nodes.select("node", "text_key", "n"), "node"), "nd-need")
+    sizes = need.select("node", "n")
     # The nodes grow with the corpus, so they are never broadcast to it.
-    text = docs.select("text_key", "text").join(need.hint("merge"), "text_key").dropDuplicates(["text_key", "node"]).select("node", "text")
+    text = docs.select("text_key", "text").join(need.select("node", "text_key").hint("merge"), "text_key").dropDuplicates(["text_key", "node"]).select("node", "text")
     sets = keep(text.mapInArrow(_sets, "node binary, set binary"), "nd-sets")
 
-    links = keep(confirmed_pairs(hubs, sets, family, percent), "nd-links")
+    links = keep(confirmed_pairs(hubs, sets, family, sizes, percent), "nd-links")
     root = components(links)
     # Under a key of one block, only nodes with a candidate can be in a pair; those of hot keys are all there.
     rooted = blocked.join(need.select("node"), "node", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    rest = rooted.join(main, "key").withColumn("rest", F.col("root") != F.col("main"))
-    # Off the main component: to every block of the key; on it: to its own block.
-    every = F.when(F.col("rest") & hot, F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).otherwise(F.array("block"))
-    rest = rest.withColumn("home", F.col("block")).withColumn("block", F.explode(every))
-    rest = rest.withColumn("home", F.when(F.col("home") == F.col("block"), -1).otherwise(F.col("home"))).select(*cols, "root", "rest", "home")
-    cross = by(rest, "home").mapInArrow(_cross_pairs(percent), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = keep(confirmed_pairs(cross.distinct(), sets, family, percent), "nd-more")
+    mains = keep(_mains(rooted), "nd-mains")
+    rooted = rooted.drop("size").join(mains, "key").withColumn("rest", F.col("root") != F.col("main"))
+    rest = rooted.where(F.col("size") <= DENSE).select("key", "node", "n", "sig", "root", "rest")
+    cross = rest.repartition(_parts(rest), "key").sortWithinPartitions("key", "node").mapInArrow(_cross_pairs(percent), "a binary, b binary")
+    if mains.where(F.col("size") > DENSE).limit(1).count():
+        burning = keep(rooted.where(F.col("size") > DENSE).select("node", "root").distinct(), "nd-burning")
+        cross = cross.union(hot_pairs(burning, sets, percent))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = keep(confirmed_pairs(cross.distinct(), sets, family, sizes, percent), "nd-more")
     root = components(links.union(more))
 
     label = nodes.select("node", "low").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))

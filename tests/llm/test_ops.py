@@ -89,7 +89,9 @@ def test_near_duplicates(docs, percent):
 def test_near_duplicates_in_blocks(docs, monkeypatch):
     """Keys split over blocks of two and families of none give the same components."""
     monkeypatch.setattr(neardup, "BLOCK", 2)
+    monkeypatch.setattr(neardup, "DENSE", 2)
     monkeypatch.setattr(neardup, "FAMILY", 0)
+    monkeypatch.setattr(neardup, "HELD", 100)
     monkeypatch.setattr(neardup, "LEADS", 2)
     want = brute_components([(r.doc_id, r.text) for r in docs.collect()], 85)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, 85).collect()}
@@ -104,6 +106,7 @@ def test_near_duplicates_across_blocks(spark, monkeypatch):
             yield pa.RecordBatch.from_arrays([pa.array([0] * b.num_rows, pa.int64()), b.column(0)], ["key", "node"])
 
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "DENSE", 8)
     monkeypatch.setattr(neardup, "_keys", one_key)
     r = random.Random(11)
     texts = [prose(r, 80) for _ in range(60)]
@@ -132,13 +135,40 @@ def test_signature_pigeonhole():
         b = a.copy()
         at = r.permutation(neardup.SYMBOLS)[: neardup.THRESHOLD]
         b[at] ^= 1
-        sigs = [np.concatenate([x.view(np.uint8), np.zeros(neardup.EXTRA, np.uint8)]).tobytes() for x in (a, b)]
+        sigs = [x.tobytes() for x in (a, b)]
         batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"b"]), pa.array(sigs, pa.binary())], ["node", "sig"])
         out = next(neardup._keys(iter([batch])))
         keys = {n: {k for k, m in zip(*(c.to_pylist() for c in out.columns)) if m == n} for n in (b"a", b"b")}
         assert keys[b"a"] & keys[b"b"]
 
 
+def test_prefixes_meet():
+    """Two sets that are similar enough share a shingle that the larger looks with and the smaller is found by, under any order."""
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        percent = int(r.choice([80, 85, 90]))
+        common, extra = int(r.integers(1, 60)), r.integers(0, 8, 2)
+        s = r.permutation(np.unique(r.integers(1, 1 << 63, common + int(extra.sum()), dtype=np.uint64)))
+        x, y = np.sort(s[: common + extra[0]]), np.sort(np.r_[s[:common], s[common + extra[0] :]])
+        if len(x) > len(y):
+            x, y = y, x
+        counts = r.integers(0, 3, neardup.BUCKETS).astype(np.int32)
+        (px, found), (py, _) = neardup.prefix(x, percent, counts), neardup.prefix(y, percent, counts)
+        if 100 * common >= percent * len(s):
+            assert np.isin(px[:found], py).any()
+
+
+def test_near_duplicates_of_a_template(spark):
+    """Under hot keys: thousands of texts that share most of a template, some of them near copies of others, without emitting their pairs."""
+    r = random.Random(6)
+    words = [f"t{i}" for i in range(150)]
+    texts = [" ".join([*words, *(f"v{r.randrange(10**9)}" for _ in range(30))]) for _ in range(4000)]
+    texts += [f"{t} end" for t in texts[:30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(df).collect()}
+    assert got == {i: i - 4000 if i >= 4000 else i for i in range(len(texts))}
+
+
 def test_mixing(spark, empty, odd):
     r = random.Random(1)
     data = [(i, prose(r, r.randint(1, 40)), "en", s, 0, "", 0.0, 0) for i, s in enumerate(["big"] * 150 + ["mid"] * 60 + ["few"] * 5 + [None] * 12)]

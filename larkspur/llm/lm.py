@@ -492,7 +492,7 @@ def train(docs: DataFrame, least: int = 1) -> Model:
     for order in (2, 3):
         if (m.types + 1) ** 2 >> 64 or (order == 3 and m.levels[1].n * m.most >> 64):
             raise OverflowError(f"{m.types} words are too many for 64-bit codes")
-        ranges = max(parts, min(20_000, m.tokens >> 20), m.tokens >> 23)
+        ranges = max(min(parts, 16), m.tokens >> 22)  # few segments: every chunk of text looks into most of them
         shared = sent(sc, m)
         count = _count_pairs(shared, ranges, least) if order == 2 else _count_triples(shared, ranges)
         universe = (m.types + 1) ** 2 if order == 2 else m.levels[1].n * m.most

@@ -112,12 +112,16 @@ class Routine:
 
 @dataclass(frozen=True)
 class Policy:
-    """Rows of a table that roles may touch by a command. Several policies of one command are alternatives."""
+    """Rows of a table that roles may touch by a command. Several policies of one command are alternatives.
+
+    check holds for rows as they are written; where it is not given, using does.
+    """
 
     table: Name
     roles: tuple[str, ...]
     command: str
     using: Callable[["Context"], Column]
+    check: Callable[["Context"], Column] | None = None
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from larkspur.catalog import Catalog, ColumnDef, Context, Handle, TableDef
 from larkspur.errors import ApiError, bad_request, from_spark
 from larkspur.operators import mutate, routines
 from larkspur.operators.read import Plan, count_rows, filtered, name_of, read_frame
-from larkspur.operators.security import permitted, policy
+from larkspur.operators.security import obey, permitted, visible
 from larkspur.plans import grammar, request
 from larkspur.plans.ir import Pick, Read, Tree
 from larkspur.sources import payload as bodies
@@ -33,12 +33,18 @@ class Response:
 
 
 class Engine:
-    """max_rows caps every page and every list of children; key_order is 'sorted' or 'select'."""
+    """max_rows caps every page and every list of children; key_order is 'sorted' or 'select'.
 
-    def __init__(self, spark: SparkSession, catalog: Catalog | Callable[[], Catalog], max_rows: int | None = None, folder: str | None = None, key_order: str = "sorted", rpc_compat: bool = False, debug: bool = True):
+    before(engine, method, path, context) runs ahead of each request: it may give another
+    context, or raise an ApiError. list_prefix and list_suffix go around the names of GraphQL
+    list fields.
+    """
+
+    def __init__(self, spark: SparkSession, catalog: Catalog | Callable[[], Catalog], max_rows: int | None = None, folder: str | None = None, key_order: str = "sorted", rpc_compat: bool = False, debug: bool = True, before: Callable[["Engine", str, str, Context], Context | None] | None = None, list_prefix: str = "", list_suffix: str = ""):
         self.spark = spark
         self.handle = Handle(catalog if callable(catalog) else lambda: catalog)
         self.max_rows, self.key_order, self.rpc_compat, self.debug = max_rows, key_order, rpc_compat, debug
+        self.before, self.list_prefix, self.list_suffix = before, list_prefix, list_suffix
         self.store = mutate.Store(spark, folder)
 
     @property
@@ -55,7 +61,10 @@ class Engine:
     def request(self, method: str, path: str, query: str = "", headers: dict[str, str] | None = None, body: bytes | str | None = None, ctx: Context | None = None) -> Response:
         """A response whatever happens: errors are rendered by their code."""
         try:
-            return self._request(method, path, query, {k.lower(): v for k, v in (headers or {}).items()}, body, ctx or Context())
+            ctx = ctx or Context()
+            if self.before:
+                ctx = self.before(self, method, path, ctx) or ctx
+            return self._request(method, path, query, {k.lower(): v for k, v in (headers or {}).items()}, body, ctx)
         except ApiError as e:
             return Response(e.status, e.to_dict(self.debug))
         except PySparkException as e:
@@ -165,7 +174,8 @@ class Engine:
         if prefer.representation != "representation":
             n = f"*/{affected.count()}" if prefer.count else "*/*"
             return Response(201 if action.kind == "insert" else 204, None, extra | {"content-range": n})
-        out = affected
+        permitted(self.catalog, table.name, ctx, "select")
+        out = visible(self.catalog, table.name, ctx, affected)
         if q.read.select:
             plan = replace(self.plan(ctx), source=lambda t: affected if t.name == table.name else self.store.written(t))
             out = read_frame(plan, Read(table.name.name, table.name.schema, q.read.select))
@@ -177,9 +187,11 @@ class Engine:
         """Makes one mutation and commits it; the affected rows come back, unexecuted."""
         prefer = prefer or request.Prefer()
         command = {"insert": "insert", "upsert": "insert", "update": "update", "delete": "delete"}[kind]
-        if not {"insert": table.insertable, "update": table.updatable, "delete": table.deletable}[command]:
-            raise ApiError("method_not_allowed", "not_writable", f"{table.name.name} does not take {command}")
-        permitted(self.catalog, table.name, ctx, command)
+        merges = kind == "upsert" or (kind == "insert" and prefer.resolution != "ignore-duplicates" and (prefer.resolution == "merge-duplicates" or bool(on_conflict)))
+        for c in (command, "update") if merges else (command,):
+            if not {"insert": table.insertable, "update": table.updatable, "delete": table.deletable}[c]:
+                raise ApiError("method_not_allowed", "not_writable", f"{table.name.name} does not take {c}")
+            permitted(self.catalog, table.name, ctx, c)
         with self.store.lock:
             current = self.store.rows(table)
             if kind in ("insert", "upsert"):
@@ -187,20 +199,27 @@ class Engine:
                     raise bad_request("there are no rows to insert")
                 rows = bodies.frame(self.spark, table, p, columns, prefer.missing or "null")
                 rows = self._with_auto(table, current, rows)
-                rule = policy(self.catalog, table.name, ctx, "insert")
-                if rule is not None and rows.where(~rule).limit(1).count():
-                    raise ApiError("forbidden", "row_policy", f"new row of {table.name.name} breaks its row policy")
+                obey(self.catalog, table.name, ctx, "insert", rows)
                 keys = on_conflict or table.pk
+                if merges and (table.pk if kind == "upsert" else keys):
+                    at = list(table.pk if kind == "upsert" else keys)
+                    hit = current.join(rows.select(*at), at, "left_semi")
+                    for c in ("update", "select"):  # a row that the role may not change, or not see, is not merged into
+                        obey(self.catalog, table.name, ctx, c, hit, written=False)
                 if kind == "upsert":
                     if not table.pk:
                         raise bad_request(f"{table.name.name} has no primary key to upsert by")
                     new, affected = mutate.merge_duplicates(current, rows, table.pk, p.keys)
                 elif prefer.resolution == "ignore-duplicates":
                     new, affected = mutate.ignore_duplicates(current, rows, keys)
-                elif prefer.resolution == "merge-duplicates" or on_conflict:
+                elif merges:
                     new, affected = mutate.merge_duplicates(current, rows, keys, columns or p.keys)
                 else:
                     new, affected = mutate.insert(current, rows)
+                if merges:
+                    obey(self.catalog, table.name, ctx, "update", affected.join(hit.select(*at), at, "left_semi"))
+                    if set(at) != set(table.pk):
+                        mutate.restrict(self.catalog, self.store, table, hit, new, columns or p.keys)
             else:
                 condition = mutate.where_of(self.catalog, table, where, ctx, command)
                 if kind == "update":
@@ -208,8 +227,11 @@ class Engine:
                         raise bad_request("there is nothing to set")
                     row = {k: v for k, v in p.rows[0].items() if not columns or k in columns}
                     new, affected = mutate.update(current, condition, mutate.values_of(table, row))
+                    obey(self.catalog, table.name, ctx, "update", affected)
+                    mutate.restrict(self.catalog, self.store, table, mutate.delete(current, condition)[1], new, row)
                 else:
                     new, affected = mutate.delete(current, condition)
+                    mutate.restrict(self.catalog, self.store, table, affected, new)
             if prefer.max_affected is not None and affected.limit(prefer.max_affected + 1).count() > prefer.max_affected:
                 raise bad_request(f"more than {prefer.max_affected} rows would be affected")
             if kind != "delete":
@@ -232,6 +254,20 @@ class Engine:
         t = plan.catalog.table(table)
         return filtered(plan, t, plan.base(t), where)
 
+    def ready(self) -> dict[str, Any]:
+        """Whether the session answers, and how many tables are known."""
+        try:
+            ok = self.spark.range(1).count() == 1
+        except PySparkException:
+            ok = False
+        return {"status": "ready" if ok else "unavailable", "tables": len(self.catalog.tables)}
+
+    def subscribe(self, document: str, folder: str, variables: dict | None = None, ctx: Context | None = None) -> DataFrame:
+        """The stream of a subscription document over the log of changes in folder."""
+        from larkspur.graphql.resolve import subscription
+
+        return subscription(self, document, variables or {}, ctx or Context(), folder)
+
     def graphql(self, document: str, variables: dict | None = None, ctx: Context | None = None, operation: str | None = None) -> dict:
         from larkspur.graphql.resolve import execute
 

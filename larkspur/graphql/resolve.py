@@ -9,12 +9,14 @@ from dataclasses import replace
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur import render
 from larkspur.catalog import Context, TableDef
 from larkspur.errors import ApiError, bad_request, unknown_column
+from larkspur.graphql.introspect import introspect
 from larkspur.graphql.parser import FieldNode, parse
-from larkspur.graphql.schema import Schema, build
+from larkspur.graphql.schema import Schema, build, scalar
 from larkspur.operators.read import read_frame
 from larkspur.plans.grammar import parse_order
 from larkspur.plans.ir import Below, Embed, Field, Filter, Item, Logic, Order, Pick, Read, Tree
@@ -67,6 +69,36 @@ def filter_tree(table: TableDef, spec: Any) -> Tree | None:
     return Logic("and", tuple(parts)) if parts else None
 
 
+#: What each kind of filter input takes.
+TYPED = {
+    "String": frozenset("eq neq like ilike in isNull startsWith endsWith contains".split()),
+    "Int": frozenset("eq neq gt gte lt lte in isNull".split()),
+    "Float": frozenset("eq neq gt gte lt lte isNull".split()),
+    "Boolean": frozenset("eq isNull".split()),
+    "UUID": frozenset("eq neq in isNull".split()),
+}
+_INPUT = {"Int": "Int", "BigInt": "Int", "Float": "Float", "BigDecimal": "Float", "Boolean": "Boolean"}
+
+
+def typed_filter(table: TableDef, column: str, spec: dict[str, Any], kind: str | None = None) -> Tree | None:
+    """Conditions on one column by the filter input of its type (or of `kind`); what the input does not have is an error. eq of a Boolean is IS TRUE or IS FALSE, so null is neither."""
+    c = table.column(column)
+    kind = kind or _INPUT.get(scalar(c.type, c.json), "String")
+    for op in spec:
+        if op not in TYPED[kind]:
+            raise bad_request(f"{kind}FilterInput has no {op}")
+    if kind == "Boolean" and "eq" in spec:
+        parts: list[Tree] = [Filter(Field(column), "is", str(bool(spec["eq"])).lower())]
+        rest = filter_tree(table, {column: {k: v for k, v in spec.items() if k != "eq"}}) if len(spec) > 1 else None
+        return Logic("and", tuple(parts + ([rest] if rest else [])))
+    return filter_tree(table, {column: spec})
+
+
+def known_columns(table: TableDef, columns: list[str]) -> list[str]:
+    """The columns that the table has; others are left out. Documents don't use this: there an unknown field is an error."""
+    return [c for c in columns if table.has(c)]
+
+
 def order_terms(table: TableDef, spec: Any) -> tuple[Order, ...]:
     """"col.desc", "col_DESC", "col", or {col: "DESC"}; an unknown column or direction is an error."""
     out: list[Order] = []
@@ -147,30 +179,55 @@ def root_frame(engine: "Engine", document: str, variables: dict[str, Any], ctx:
     kind, fields = parse(document, variables)
     if kind != "query" or len(fields) != 1:
         raise bad_request("one root field of a query is needed")
-    schema = build(engine.catalog)
+    schema = schema_of(engine)
     root = schema.queries.get(fields[0].name)
     if root is None:
         raise bad_request(f"no query field {fields[0].name}")
     return read_frame(engine.plan(ctx), _read(schema, root.table, fields[0], root.kind == "by_pk"))
 
 
+def schema_of(engine: "Engine") -> Schema:
+    return build(engine.catalog, engine.list_prefix, engine.list_suffix)
+
+
+def subscription(engine: "Engine", document: str, variables: dict[str, Any], ctx: Context, folder: str) -> DataFrame:
+    """The stream of a subscription with one root field: the changed rows of a base table under its filter and the role's policy, the selected columns and the operation."""
+    from larkspur.operators.predicates import conditions
+    from larkspur.operators.security import permitted
+    from larkspur.streaming.changes import table_stream
+
+    kind, fields = parse(document, variables)
+    if kind != "subscription" or len(fields) != 1:
+        raise bad_request("one root field of a subscription is needed")
+    f = fields[0]
+    name = schema_of(engine).subscriptions().get(f.name)
+    if name is None:
+        raise bad_request(f"no subscription field {f.name}")
+    table = engine.catalog.tables[name]
+    permitted(engine.catalog, name, ctx, "select")
+    tree = filter_tree(table, f.args.get("filter") or f.args.get("where"))
+    df = table_stream(engine.spark, engine.catalog, table, folder, conditions(table, (tree,)) if tree else None, ctx)
+    picks = [x for x in f.fields if x.name != "__typename"]
+    return df.select("operation", *[F.col(f"`{table.column(x.name).name}`").alias(x.key) for x in picks])
+
+
 def execute(engine: "Engine", document: str, variables: dict[str, Any], ctx: Context, operation: str | None = None) -> dict:
     """{'data': ..., 'errors': [...]}: a field that fails is null, and the others stand."""
     try:
         kind, fields = parse(document, variables, operation)
-        schema = build(engine.catalog)
+        schema = schema_of(engine)
     except ApiError as e:
         return {"data": None, "errors": [e.to_dict(engine.debug)]}
     if kind == "subscription":
-        return {"data": None, "errors": [bad_request("subscriptions are streams: see larkspur.streaming.changes").to_dict()]}
+        return {"data": None, "errors": [bad_request("a subscription is a stream: ask Engine.subscribe for it").to_dict()]}
     data: dict[str, Any] = {}
     errors: list[dict] = []
     for f in fields:
         try:
             if f.name == "__typename":
                 data[f.key] = kind.capitalize()
-            elif f.name == "__schema":
-                data[f.key] = {"sdl": schema.text()}
+            elif f.name in ("__schema", "__type"):
+                data[f.key] = introspect(schema, f)
             else:
                 data[f.key] = _query(engine, schema, f, ctx) if kind == "query" else _mutation(engine, schema, f, ctx)
         except Exception as e:

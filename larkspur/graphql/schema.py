@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-from larkspur.catalog import Catalog, ColumnDef, Relationship, TableDef
+from larkspur.catalog import Catalog, ColumnDef, Name, Relationship, TableDef
 from larkspur.functions.names import camel, pascal, plural, singular
 
 _SCALARS = {"smallint": "Int", "int": "Int", "bigint": "BigInt", "float": "Float", "double": "Float", "boolean": "Boolean", "date": "Date", "timestamp": "DateTime", "timestamp_ntz": "DateTime", "binary": "String"}
@@ -66,10 +66,21 @@ class Schema:
                     one = r.kind in ("by_pk", "insert_one", "update_by_pk", "delete_by_pk")
                     out.append(f"  {f}({args}): {names[r.table.name] if one else f'[{names[r.table.name]}!]!'}")
                 out += ["}", ""]
+        out += ["type Subscription {", *(f"  {f}: {names[n]}" for f, n in sorted(self.subscriptions().items())), "}", ""]
         return "\n".join(out)
 
+    def subscriptions(self) -> dict[str, Name]:
+        """A field for each base table."""
+        out: dict[str, Name] = {}
+        for t in self.types.values():  # those of the first schema come first
+            if not t.is_view:
+                name = camel(t.name.name)
+                out[name if name not in out else camel(f"{t.name.schema}_{t.name.name}")] = t.name
+        return out
 
-def build(catalog: Catalog) -> Schema:
+
+def build(catalog: Catalog, prefix: str = "", suffix: str = "") -> Schema:
+    """prefix and suffix go around the names of list fields."""
     queries: dict[str, Root] = {}
     mutations: dict[str, Root] = {}
     types: dict[str, TableDef] = {}
@@ -86,6 +97,7 @@ def build(catalog: Catalog) -> Schema:
         base = t.name.name if t.name.schema == catalog.schemas[0] else f"{t.name.schema}_{t.name.name}"
         types[free(pascal(singular(base)), types)] = t
         one, many = camel(singular(base)), camel(base)
+        many = (prefix + many[:1].upper() + many[1:] if prefix else many) + suffix
         queries[free(many, queries)] = Root("list", t)
         if t.pk:
             queries[free(f"{one}ByPk", queries)] = Root("by_pk", t)

@@ -142,6 +142,25 @@ def check(catalog: Catalog, store: Store, table: TableDef, new: DataFrame, affec
                 raise ApiError("conflict", "foreign_key_violation", f"{table.name.name} refers to a missing row of {target.name.name}", details=rel.constraint)
 
 
+def restrict(catalog: Catalog, store: Store, table: TableDef, old: DataFrame, new: DataFrame, changed: Iterable[str] | None = None) -> None:
+    """Rows of other tables that refer to keys of `old` which `new` no longer has are a 409. changed: the columns that can differ, all if not given."""
+    for rel in catalog.relationships:
+        if rel.target != table.name or rel.kind not in ("m2o", "o2o") or (rel.kind == "o2o" and not _refers(catalog, rel)):
+            continue
+        if changed is not None and not {b for _, b in rel.columns} & set(changed):
+            continue
+        child = catalog.tables.get(rel.table)
+        if child is None or child.is_view:
+            continue
+        keys = [F.col(f"`{b}`").alias(f"_k{i}") for i, (_, b) in enumerate(rel.columns)]
+        names = [f"_k{i}" for i in range(len(keys))]
+        gone = old.select(*keys).join(new.select(*keys), names, "left_anti")
+        rows = new if rel.table == table.name else store.rows(child)
+        left = rows.select(*[F.col(f"`{a}`").alias(k) for k, (a, _) in zip(names, rel.columns, strict=True)]).join(gone, names, "left_semi").limit(1).collect()
+        if left:
+            raise ApiError("conflict", "foreign_key_violation", f"{child.name.name} still refers to {table.name.name}", details=rel.constraint)
+
+
 def _refers(catalog: Catalog, rel) -> bool:
     """Of a one-to-one pair, the direction that was declared first is the reference."""
     same = [r for r in catalog.relationships if r.constraint == rel.constraint]
@@ -149,11 +168,12 @@ def _refers(catalog: Catalog, rel) -> bool:
 
 
 def where_of(catalog: Catalog, table: TableDef, trees: tuple[Tree, ...], ctx: Context, command: str) -> Column | None:
-    """The request's conditions and the role's policy for the command."""
-    own, rule = conditions(table, trees), policy(catalog, table.name, ctx, command)
-    if rule is None:
-        return own
-    return rule if own is None else own & rule
+    """The request's conditions and the role's policies: what it may not see, it cannot change or delete either."""
+    out = conditions(table, trees)
+    for rule in (policy(catalog, table.name, ctx, c) for c in (command, "select")):
+        if rule is not None:
+            out = rule if out is None else out & rule
+    return out
 
 
 def values_of(table: TableDef, row: dict) -> dict[str, Column]:

@@ -1,8 +1,10 @@
 """Reads to DataFrames: scan, policies, filters, page, embeds, projection, aggregates.
 
-The page (filters, order, limit) is taken before any embed, so children are fetched for the
-page's rows only. A to-many child is aggregated by its key before it is joined, so siblings
-never multiply. Nothing here runs a job: one lazy plan comes back.
+The page (filters, order, limit, key) is taken before any embed, so children are fetched for
+the page's rows only, at every level. A to-many child is aggregated by its key before it is
+joined, so siblings never multiply. One lazy plan comes back. No job runs but one: below a
+small page, the keys of children that nothing limits are fetched, up to BROADCAST_PAGE, to
+see whether they are few enough to prune the next level by.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from larkspur.operators.predicates import condition, conditions, resolve
 from larkspur.operators.security import scan
 from larkspur.plans.ir import Aggregate, Below, Embed, Everything, Field, Filter, Item, Order, Pick, Read, Tree
 
-#: Keys of a page of at most so many rows are broadcast to prune the children; larger pages are joined by shuffle.
+#: Keys of at most so many rows are broadcast to prune the children; more are joined by shuffle.
 BROADCAST_PAGE = 10_000
+#: `page` of rows below a page that no limit bounds.
+OPEN = -1
 
 
 @dataclass(frozen=True)
@@ -169,12 +173,14 @@ def embed(plan: Plan, table: TableDef, df: DataFrame, item: Embed, below: dict[t
         assert rel.junction is not None
         link = plan.base(plan.catalog.table(rel.junction.name, rel.junction.schema))
         (_, jc), (jt, tc) = rel.columns[0], rel.junction_columns[0]
-        link = link.select(F.col(f"`{jc}`").alias(keys[0]), F.col(f"`{jt}`").alias("_jt")).distinct()
-        link = _prune(df, [rel.columns[0][0]], link, keys, page)
+        key = set(plan.catalog.table(rel.junction.name, rel.junction.schema).pk)
+        link = link.select(F.col(f"`{jc}`").alias(keys[0]), F.col(f"`{jt}`").alias("_jt"))
+        link = _prune(plan.spark, df, [rel.columns[0][0]], link, keys, page)
+        link = link if key and key <= {jc, jt} else link.distinct()
         child = child.join(link, F.col(f"`{tc}`") == F.col("_jt")).drop("_jt")
     else:
         child = child.withColumns({k: F.col(f"`{c}`") for k, (_, c) in zip(keys, rel.columns, strict=True)})
-        child = _prune(df, [p for p, _ in rel.columns], child, keys, page)
+        child = _prune(plan.spark, df, [p for p, _ in rel.columns], child, keys, page)
         child = child.where(F.col(keys[0]).isNotNull())
 
     limit = own.limit if own.limit is not None else None
@@ -196,14 +202,15 @@ def embed(plan: Plan, table: TableDef, df: DataFrame, item: Embed, below: dict[t
         ordered = False
     else:
         columns: list[Column] = []
+        below_page = None if page is None else page if not rel.to_many or page == OPEN else OPEN if limit is None else page * limit
         for at, i in enumerate(items):
             if isinstance(i, Embed):
                 inner = f"_e{at}_{out}"
                 if i.spread:
-                    child, spread = spread_columns(plan, target, child, i, below, (*path, i.name), None, inner)
+                    child, spread = spread_columns(plan, target, child, i, below, (*path, i.name), below_page, inner)
                     columns += spread
                 else:
-                    child = embed(plan, target, child, i, below, (*path, i.name), None, inner)
+                    child = embed(plan, target, child, i, below, (*path, i.name), below_page, inner)
                     columns.append(F.col(inner).alias(i.name))
             else:
                 columns.append(picked(target, i))  # type: ignore[arg-type]
@@ -240,16 +247,21 @@ def _on(rel: Relationship, keys: list[str]) -> Column:
     return on
 
 
-def _prune(df: DataFrame, parents: list[str], child: DataFrame, keys: list[str], page: int | None) -> DataFrame:
-    """Children of the page alone, where the page is small by its own limit."""
-    if page is None or page > BROADCAST_PAGE:
+def _prune(spark: SparkSession, df: DataFrame, parents: list[str], child: DataFrame, keys: list[str], page: int | None) -> DataFrame:
+    """Children of the page alone, where the page's rows are few by limits, or, where it is OPEN, by count."""
+    if page is None:
         return child
     own = df.select(*[F.col(f"`{p}`").alias(f"_q{i}") for i, p in enumerate(parents)]).distinct()
+    small = page != OPEN and page <= BROADCAST_PAGE
+    if not small:
+        found = own.limit(BROADCAST_PAGE + 1).collect()
+        small = len(found) <= BROADCAST_PAGE
+        own = spark.createDataFrame(found, own.schema) if small else own
     on = None
     for i, k in enumerate(keys):
         eq = F.col(k) == F.col(f"_q{i}")
         on = eq if on is None else on & eq
-    return child.join(F.broadcast(own), on, "left_semi")
+    return child.join(F.broadcast(own) if small else own, on, "left_semi")
 
 
 def spread_columns(plan: Plan, table: TableDef, df: DataFrame, item: Embed, below: dict, path: tuple[str, ...], page: int | None, out: str) -> tuple[DataFrame, list[Column]]:
@@ -324,18 +336,21 @@ def read_frame(plan: Plan, read: Read) -> DataFrame:
         return _page(out, read)
     df, order, helpers = with_relation_order(plan, table, df, read.order)
     paged = read.limit is not None or read.offset
+    if embeds and paged:  # the page is read for its rows and for its children: both must be the same rows
+        order = order + [F.col(f"`{c}`").asc_nulls_last() for c in table.pk]
     if order and (paged or not embeds):
         df = df.orderBy(*order)
     df = _page(df, read)
+    page = read.limit if table.pk else None  # without a key to order by, two readings of a page may differ
     columns: list[Column] = []
     for at, item in enumerate(items):
         if isinstance(item, Embed):
             name = f"_e{at}"
             if item.spread:
-                df, more = spread_columns(plan, table, df, item, read.below, (item.name,), read.limit, name)
+                df, more = spread_columns(plan, table, df, item, read.below, (item.name,), page, name)
                 columns += more
             else:
-                df = embed(plan, table, df, item, read.below, (item.name,), read.limit, name)
+                df = embed(plan, table, df, item, read.below, (item.name,), page, name)
                 columns.append(F.col(name).alias(item.name))
         else:
             columns.append(picked(table, item))  # type: ignore[arg-type]

@@ -57,6 +57,19 @@ def capture(old: DataFrame, new: DataFrame, keys: Iterable[str], table: str, sch
     )
 
 
+def config_changes(changes: DataFrame, tenant: str = "tenant_id", channel: str = f"{PREFIX}_config_change") -> DataFrame:
+    """(channel, payload): of each change of a configuration table, which table, which operation, whose configuration."""
+    whose = F.coalesce(F.get_json_object("new", f"$.{tenant}"), F.get_json_object("old", f"$.{tenant}"))
+    return changes.select(F.lit(channel).alias("channel"), F.to_json(F.struct("table", "operation", whose.alias(tenant)), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def notify_where(changes: DataFrame, row: T.StructType, condition: Column) -> DataFrame:
+    """Those of the changes whose row (new, or old when deleted) meets the condition; the others are captured by nobody."""
+    text = F.when(F.col("operation") == "DELETE", F.col("old")).otherwise(F.col("new"))
+    held = changes.withColumn("_row", F.from_json(text, row)).select("*", "_row.*").where(condition)
+    return held.select(*changes.columns)
+
+
 def log(changes: DataFrame, folder: str) -> None:
     """Appends changes to the log."""
     changes.select(*SCHEMA.names).write.mode("append").partitionBy().parquet(folder)
@@ -101,6 +114,7 @@ class Broker:
     running: bool = False
     channels: set[str] = field(default_factory=set)
     queries: list[StreamingQuery] = field(default_factory=list)
+    named: dict[str, str] = field(default_factory=dict)
 
     def start(self, channels: Iterable[str]) -> None:
         if self.running:
@@ -110,6 +124,13 @@ class Broker:
     def listen(self, channel: str) -> None:
         self.channels.add(channel)
 
+    def drop(self, channel: str) -> None:
+        """Ends a channel's capture: its subscribers stop, and new ones are refused until it is opened again."""
+        self.channels.discard(channel)
+        for q in [q for q in self.queries if self.named.get(q.id) == channel]:
+            q.stop()
+            self.queries.remove(q)
+
     def subscribe(self, channel: str, handle: Callable[[DataFrame, int], None], where: Column | None = None, checkpoint: str | None = None, once: bool = False) -> StreamingQuery:
         """handle(batch, id) gets each batch of the channel's changes."""
         if not self.running or channel not in self.channels:
@@ -120,6 +141,7 @@ class Broker:
         writer = df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint or f"{self.folder}-checkpoints/{uuid.uuid4().hex}")
         q = (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.interval)).start()
         self.queries.append(q)
+        self.named[q.id] = channel
         return q
 
     def subscribe_or_create(self, channel: str, handle: Callable[[DataFrame, int], None], **kw) -> StreamingQuery:
@@ -132,10 +154,10 @@ class Broker:
         self.queries, self.running = [], False
 
 
-def drain(stream: DataFrame, folder: str, timeout: float = 600) -> DataFrame:
-    """All that a stream has now, as a table: written by one query until the source is read out."""
+def drain(stream: DataFrame, folder: str, timeout: float = 600, one_batch: bool = False) -> DataFrame:
+    """All that a stream has now, as a table: written by one query until the source is read out. one_batch: in a single batch, for states with time-outs, which else wait for them without end."""
     base = f"{folder.rstrip('/')}/drain-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").trigger(**({"once": True} if one_batch else {"availableNow": True})).start()
     end = time.time() + timeout
     while q.isActive and time.time() < end:
         q.awaitTermination(1)

@@ -113,6 +113,48 @@ def test_mutations(fresh):
     assert ids(fresh, "limit: 9") == [9]
 
 
+INTROSPECTION = """query IntrospectionQuery { __schema { queryType { name } mutationType { name } subscriptionType { name } types { ...FullType } directives { name description locations args { ...InputValue } } } }
+fragment FullType on __Type { kind name description fields(includeDeprecated: true) { name description args { ...InputValue } type { ...TypeRef } isDeprecated deprecationReason } inputFields { ...InputValue } interfaces { ...TypeRef } enumValues(includeDeprecated: true) { name description isDeprecated deprecationReason } possibleTypes { ...TypeRef } }
+fragment InputValue on __InputValue { name description type { ...TypeRef } defaultValue }
+fragment TypeRef on __Type { kind name ofType { kind name ofType { kind name ofType { kind name ofType { kind name } } } } }"""
+
+
+def test_introspection(engine):
+    """The query that client tools send."""
+    s = data(engine, INTROSPECTION)["__schema"]
+    types = {t["name"]: t for t in s["types"]}
+    assert (s["queryType"], s["mutationType"], s["subscriptionType"]) == ({"name": "Query"}, {"name": "Mutation"}, {"name": "Subscription"})
+    fields = {f["name"]: f for f in types["Widget"]["fields"]}
+    assert fields["name"]["type"] == {"kind": "NON_NULL", "name": None, "ofType": {"kind": "SCALAR", "name": "String", "ofType": None}}
+    books = next(f for f in types["Author"]["fields"] if f["name"] == "books")
+    assert books["type"]["ofType"]["ofType"]["ofType"]["name"] == "Book" and [a["name"] for a in books["args"]] == ["filter", "orderBy", "limit", "offset"]
+    pk = next(f for f in types["Query"]["fields"] if f["name"] == "widgetByPk")
+    assert pk["args"][0]["type"]["ofType"]["name"] == "Int" and types["Widget"]["inputFields"] is None
+    assert data(engine, '{ __type(name: "Book") { kind fields { name } } }')["__type"]["kind"] == "OBJECT"
+    assert data(engine, '{ __type(name: "Nothing") { kind } }')["__type"] is None
+
+
+def test_subscription_documents(spark, engine, tmp_path):
+    from larkspur.errors import ApiError
+    from larkspur.streaming import changes
+
+    folder = f"file://{tmp_path}/log"
+    old = engine.frame("widgets")
+    new = spark.createDataFrame([(1, "alpha", "books", D("10.50"), 50, True), (9, "nine", "tools", None, 90, True)], old.schema)
+    changes.log(changes.capture(old, new, ["id"], "widgets"), folder)
+    got = changes.drain(engine.subscribe("subscription { widgets(filter: {stock: {gte: 50}}) { id left: stock } }", folder), f"file://{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == [("INSERT", 9, 90), ("UPDATE", 1, 50)]
+    assert got.columns == ["operation", "id", "left"]
+    for doc in ("subscription { nothing { id } }", "{ widgets { id } }", "subscription { widgets { nope } }"):
+        with pytest.raises(ApiError):
+            engine.subscribe(doc, folder)
+
+
+def test_names_around_lists(spark):
+    e = Engine(spark, catalog(spark), list_prefix="all", list_suffix="List")
+    assert len(data(e, "{ allAuthorsList { id } }")["allAuthorsList"]) == 3 and data(e, "{ authorByPk(id: 1) { id } }")["authorByPk"] == {"id": 1}
+
+
 def test_schema(engine):
     s = build(engine.catalog)
     assert {"widgets", "widgetByPk", "altWidgets", "authors", "authorByPk"} <= set(s.queries)

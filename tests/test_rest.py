@@ -233,11 +233,59 @@ def test_update_and_delete(writable):
 def test_written_versions(spark, tmp_path):
     e = Engine(spark, shop.catalog(spark), folder=f"file://{tmp_path}")
     assert e.request("POST", "/categories", "", {}, json.dumps({"id": 9, "name": "New"})).status == 201
-    assert e.request("DELETE", "/categories", "id=lt.3").status == 204
-    assert ids(e, "categories", "order=id") == [3, 4, 9]
+    assert e.request("DELETE", "/categories", "id=lt.3").status == 409  # other categories are below them
+    assert e.request("DELETE", "/categories", "id=in.(3,4)").status == 204
+    assert ids(e, "categories", "order=id") == [1, 2, 9]
     assert len(list(tmp_path.glob("public.categories/v*"))) == 2
 
 
+def test_references_hold(writable):
+    """A row that others refer to is neither deleted nor given another key."""
+    r = writable.request("DELETE", "/users", "id=eq.1", {}, None, ADMIN)
+    assert (r.status, r.body["code"]) == (409, "foreign_key_violation") and len(get(writable, "users", "", ADMIN).body) == 10
+    assert writable.request("PATCH", "/users", "id=eq.1", {}, json.dumps({"id": 50}), ADMIN).status == 409
+    assert writable.request("PATCH", "/users", "id=eq.1", {}, json.dumps({"name": "A. Stone"}), ADMIN).status == 204
+    assert writable.request("DELETE", "/comments", "id=eq.1").status == 204
+    assert writable.request("DELETE", "/users", "id=eq.5", {}, None, ADMIN).status == 409  # a comment
+    assert writable.request("DELETE", "/comments", "user_id=eq.5").status == 204
+    assert writable.request("DELETE", "/users", "id=eq.5", {}, None, ADMIN).status == 204
+    assert writable.request("PATCH", "/categories", "id=eq.2", {}, json.dumps({"id": 20})).status == 409
+
+
+def test_policies_of_writes(spark):
+    """An upsert changes no row that an update could not; an update leaves no row outside its policy; what comes back is what may be seen."""
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from larkspur.catalog import Name, Policy
+
+    users = Name("public", "users")
+    cat = shop.catalog(spark)
+    own = lambda c: F.col("id") == c.claims["sub"]
+    rules = (
+        Policy(users, ("member",), "select", own), Policy(users, ("member",), "insert", lambda c: F.lit(True)), Policy(users, ("member",), "update", own, lambda c: F.col("status") != "admin"),
+        Policy(users, ("writer",), "insert", lambda c: F.lit(True)), Policy(users, ("writer",), "select", lambda c: F.lit(True)),
+    )
+    e = lambda: Engine(spark, replace(cat, policies=rules))
+    me, body = Context("member", {"sub": 2}), lambda **kw: json.dumps({"email": "x@y", **kw})
+    merge = {"Prefer": "resolution=merge-duplicates,return=representation"}
+    for who in (me, Context("writer")):
+        w = e()
+        assert w.request("POST", "/users", "", merge, body(id=3, name="Taken"), who).status == 403
+        assert w.request("PUT", "/users", "id=eq.3", {}, body(id=3, name="Taken"), who).status == 403
+        assert w.store.written(w.catalog.table("users")) is None
+    w = e()
+    assert w.request("POST", "/users", "select=id,name", merge, body(id=2, name="Mine"), me).body == [{"id": 2, "name": "Mine"}]
+    assert w.request("POST", "/users", "select=id", {"Prefer": "return=representation"}, body(id=77, name="Other"), me).body == []
+    assert w.request("PATCH", "/users", "", {}, json.dumps({"status": "admin"}), me).status == 403
+    assert w.request("PATCH", "/users", "id=eq.2", {"Prefer": "return=representation"}, json.dumps({"status": "away"}), me).body[0]["status"] == "away"
+    grants = {("g", users): frozenset({"insert", "select"})}
+    g = Engine(spark, replace(cat, policies=(), grants=grants))
+    assert g.request("POST", "/users", "", merge, body(id=3, name="Taken"), Context("g")).status == 403
+    assert g.request("POST", "/users", "", {}, body(id=90, name="New"), Context("g")).status == 201
+
+
 def test_rpc(engine):
     call = lambda m, f, q="", b=None, **h: engine.request(m, f"/rpc/{f}", q, h, b)
     assert [x["name"] for x in call("GET", "get_user", "user_id=2&select=name").body] == ["Ben Hill"]
@@ -266,3 +314,7 @@ def test_pushdown(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
     paged = render.explain(e.frame("orders", "select=o_orderkey,customer(c_name)&order=o_totalprice.desc,o_orderkey&limit=25"))
     assert "TakeOrderedAndProject" in paged and "CartesianProduct" not in paged
+    two = e.frame("customer", "select=c_custkey,orders(o_orderkey,lineitem(l_partkey))&limit=5")
+    plan = two._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 3  # orders by the page, lines by the page's orders
+    assert sum(len(o["lineitem"]) for r in two.collect() for o in r["orders"]) > 0

@@ -39,6 +39,36 @@ def test_subscription_and_policy(spark, tmp_path):
         changes.table_stream(spark, cat, view, folder)
 
 
+def test_config_and_conditional_notices(spark):
+    got = changes.config_changes(captured(spark), "value").collect()
+    assert sorted(r.payload for r in got)[0] == '{"table":"items","operation":"DELETE","value":"3"}' and got[0].channel == "larkspur_config_change"
+    some = changes.notify_where(captured(spark), spark.createDataFrame(OLD, COLS).schema, F.col("value") > 3)
+    assert sorted(r.operation for r in some.collect()) == ["INSERT", "UPDATE"] and some.columns == captured(spark).columns
+
+
+def test_broker_drops_channels(spark, tmp_path):
+    folder = f"file://{tmp_path}/log"
+    changes.log(captured(spark), folder)
+    b = changes.Broker(spark, folder)
+    b.start(["larkspur_public_items", "other"])
+    q = b.subscribe("larkspur_public_items", lambda d, i: None)
+    b.drop("larkspur_public_items")
+    assert not q.isActive and b.queries == []
+    with pytest.raises(ApiError):
+        b.subscribe("larkspur_public_items", lambda d, i: None)
+    b.stop()
+
+
+def test_rate_limit_stream(spark, tmp_path):
+    """One batch of requests through the token buckets, time-outs set."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [(k, at + dt.timedelta(seconds=s)) for k in ("a", "b") for s in (0, 0, 0, 1, 5)]
+    spark.createDataFrame(rows, "k string, at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, at timestamp").parquet(f"{tmp_path}/in")
+    got = changes.drain(state.rate_limit(stream, "k", "at", 2, 1.0), f"file://{tmp_path}", one_batch=True).orderBy("k", "at").collect()
+    assert [sum(r.allowed for r in got if r.k == k) for k in ("a", "b")] == [4, 4]
+
+
 def test_broker(spark, tmp_path):
     folder = f"file://{tmp_path}/log"
     changes.log(captured(spark), folder)

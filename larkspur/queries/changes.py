@@ -63,9 +63,11 @@ def update_returning(spark, sf_dir):
     return mutate.update(_customer(spark, sf_dir), F.col("c_acctbal") < 0, {"c_mktsegment": F.lit("DEBT")})[1].select("c_custkey", "c_mktsegment")
 
 
-@frame("partial_update", "select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+@frame("partial_update", "select c_custkey, c_name, c_nationkey, c_acctbal, case when c_acctbal < 0 and c_nationkey > 9 then 'DEBT' else c_mktsegment end as c_mktsegment from customer")
 def partial_update(spark, sf_dir):
-    return mutate.partial_update(_customer(spark, sf_dir), F.col("c_custkey") < 100, {"c_name": F.lit(None).cast("string")})[0]
+    """Of the columns to set, a null leaves the old value: c_name everywhere, c_mktsegment where the nation is a small number."""
+    values = {"c_name": F.lit(None).cast("string"), "c_mktsegment": F.when(F.col("c_nationkey") > 9, F.lit("DEBT"))}
+    return mutate.partial_update(_customer(spark, sf_dir), F.col("c_acctbal") < 0, values)[0]
 
 
 @frame("delete_where", f"select {C} from customer where not (c_mktsegment = 'BUILDING' and c_acctbal > 5000)")

@@ -1,7 +1,8 @@
 """Full text without stemming: words are runs of letters and digits, compared in lower case.
 
 A word is looked for by a regular expression with the text's other characters as bounds, so a
-predicate needs no tokenised copy of the text. The language of a query is accepted by name;
+predicate needs no tokenised copy of the text; a plain search for the word comes first, and
+each text is put into lower case once. The language of a query is accepted by name;
 all languages use this one configuration.
 """
 
@@ -25,10 +26,10 @@ def words_of(query: str) -> list[str]:
 
 
 def phrase(text: Column, words: list[str], prefix: bool = False) -> Column:
-    """The words one right after another."""
+    """The words one right after another in a text in lower case."""
     inside = f"{_OTHER}+".join(words)
     end = "" if prefix else f"({_OTHER}|$)"
-    return F.lower(text).rlike(f"(^|{_OTHER}){inside}{end}")
+    return _all([text.contains(w) for w in dict.fromkeys(words)]) & text.rlike(f"(^|{_OTHER}){inside}{end}")
 
 
 def _all(parts: list[Column]) -> Column:
@@ -141,4 +142,4 @@ OPERATORS: dict[str, Callable[[Column, str], Column]] = {"fts": boolean, "plfts"
 def search(op: str, text: Column, query: str, language: str | None = None) -> Column:
     if language is not None and language.lower() not in LANGUAGES:
         raise bad_request(f"text search configuration {language!r} does not exist")
-    return OPERATORS[op](text, query)
+    return F.exists(F.array(F.lower(text)), lambda t: OPERATORS[op](t, query))

@@ -52,6 +52,8 @@ def cosine(a: Column, b: Column | Sequence[float]) -> Column:
     return F.lit(1.0) - F.when(size > 0, inner(a, b) / size)
 
 
+#: A query set is broadcast: a thousand vectors of a thousand numbers are some 8 MB.
+MOST_QUERIES = 1000
 DISTANCES = {"l2": l2, "ip": negative_inner, "cosine": cosine}
 
 
@@ -64,7 +66,9 @@ def nearest(df: DataFrame, column: str, query: Sequence[float], k: int, key: str
 
 
 def nearest_each(queries: DataFrame, df: DataFrame, column: str, key: str, k: int, distance: str = "cosine") -> DataFrame:
-    """The k nearest of df to each row of a small, stated query set (query_id, query): pairs are reduced to k as they are made."""
+    """The k nearest of df to each row of a stated query set (query_id, query) of at most MOST_QUERIES: each partition keeps k of its pairs."""
+    if len(queries.limit(MOST_QUERIES + 1).select("query_id").collect()) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: ask in blocks")
     pairs = df.join(F.broadcast(queries), F.col(key) != F.col("query_id")).withColumn("distance", DISTANCES[distance](F.col(column), F.col("query")))
     w = Window.partitionBy("query_id").orderBy("distance", key)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -36,4 +36,4 @@ def frame(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return add
 
 
-from larkspur.queries import changes, graph, reads, relations, search, writes  # noqa: E402, F401
+from larkspur.queries import changes, graph, reads, relations, requests, search, writes  # noqa: E402, F401

@@ -37,7 +37,7 @@ gql(
 )
 gql(
     "gql_nested_arguments",
-    '{ customer(filter: {c_custkey: {lte: 50}}) { c_custkey orders(filter: {o_totalprice: {gt: 100000}}, orderBy: ["o_orderkey.desc"], limit: 2) { o_orderkey } } }',
-    "select c_custkey, coalesce(string_agg(o_orderkey::varchar, ',' order by o_orderkey desc), '') as keys from customer left join (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as i from orders where o_totalprice > 100000) o on o_custkey = c_custkey and i <= 2 where c_custkey <= 50 group by 1",
+    '{ customer { c_custkey orders(filter: {o_totalprice: {gt: 100000}}, orderBy: ["o_orderkey.desc"], limit: 2) { o_orderkey } } }',
+    "select c_custkey, coalesce(string_agg(o_orderkey::varchar, ',' order by o_orderkey desc), '') as keys from customer left join (select *, row_number() over (partition by o_custkey order by o_orderkey desc) as i from orders where o_totalprice > 100000) o on o_custkey = c_custkey and i <= 2 group by 1",
     lambda df: df.select("c_custkey", F.array_join(F.transform("orders", lambda x: x["o_orderkey"].cast("string")), ",").alias("keys")),
 )

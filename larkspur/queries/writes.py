@@ -208,8 +208,8 @@ def rls_refusals(spark, sf_dir):
     return spark.createDataFrame(out, TOLD)
 
 
-@frame("rls_returning", "select c_custkey from customer where c_nationkey = 3")
+@frame("rls_returning", "select c_custkey from customer where c_nationkey = 3 and c_acctbal >= 0")
 def rls_returning(spark, sf_dir):
     """What an update gives back is what the role may see."""
-    got = _guarded(spark, sf_dir).request("PATCH", "/customer", "select=c_custkey", {"Prefer": "return=representation"}, '{"c_mktsegment": "SEEN"}', AGENT)
+    got = _guarded(spark, sf_dir).request("PATCH", "/customer", "select=c_custkey&c_acctbal=gte.0", {"Prefer": "return=representation"}, '{"c_mktsegment": "SEEN"}', AGENT)
     return spark.createDataFrame([(r["c_custkey"],) for r in got.body], "c_custkey long")

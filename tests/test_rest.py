@@ -316,5 +316,5 @@ def test_pushdown(spark):
     assert "TakeOrderedAndProject" in paged and "CartesianProduct" not in paged
     two = e.frame("customer", "select=c_custkey,orders(o_orderkey,lineitem(l_partkey))&limit=5")
     plan = two._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("LeftSemi") == 3  # orders by the page, lines by the page's orders
+    assert plan.count("LeftSemi") == 2 and "LocalRelation" in plan  # orders by the page, lines by the page's orders
     assert sum(len(o["lineitem"]) for r in two.collect() for o in r["orders"]) > 0

@@ -254,9 +254,9 @@ def _prune(spark: SparkSession, df: DataFrame, parents: list[str], child: DataFr
     own = df.select(*[F.col(f"`{p}`").alias(f"_q{i}") for i, p in enumerate(parents)]).distinct()
     small = page != OPEN and page <= BROADCAST_PAGE
     if not small:
-        found = own.limit(BROADCAST_PAGE + 1).collect()
-        small = len(found) <= BROADCAST_PAGE
-        own = spark.createDataFrame(found, own.schema) if small else own
+        found = own.limit(BROADCAST_PAGE + 1).toArrow()
+        small = found.num_rows <= BROADCAST_PAGE
+        own = spark.createDataFrame(found) if small else own
     on = None
     for i, k in enumerate(keys):
         eq = F.col(k) == F.col(f"_q{i}")

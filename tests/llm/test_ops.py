@@ -742,5 +742,20 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.mixed(spark, docs, folder)
     copies = {r.doc_id: r._copies for r in mixing.mix(docs).collect()}
     assert mixed.columns == docs.columns and sorted(r.doc_id for r in mixed.collect()) == sorted(i for i, c in copies.items() for _ in range(c))
-    out = corpus_pipeline.run(spark, folder)
-    assert out.count() > 0 and out.columns[0] == "doc_id"
+    # The whole run, stage by stage: what each decides is what its operator decides on what the stage before kept.
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    good = {r.doc_id for r in quality.score(docs, labels).collect() if r.score >= 0.5}
+    kept = docs.where(docs.doc_id.isin(list(good)))
+    civil = {r.doc_id for r in toxicity.score(kept, labels).collect() if r.score < r.threshold}
+    kept = [r for r in kept.collect() if r.doc_id in civil]
+    want = brute_components([(r.doc_id, r.text) for r in kept], corpus_pipeline.SIMILAR)
+    stay = [r for r in kept if not want[r.doc_id][0] or want[r.doc_id][1] == r.doc_id]
+    copies = {r.doc_id: r._copies for r in mixing.mix(spark.createDataFrame(stay, docs.schema)).collect()}
+    out = corpus_pipeline.run(spark, folder).collect()
+    ids, taken = part_ids(), {}
+    for r in stay:
+        taken[r.doc_id] = (len(ids.of((r.text or "").encode())) // 4 + 1) * copies[r.doc_id]
+    got = {}
+    for p in out:
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.length
+    assert got == {d: n for d, n in taken.items() if n} and 0 < len(stay) < docs.count()

@@ -70,6 +70,11 @@ def keep_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for the right side of a join that moves both sides between tasks: however small they are, neither is gathered and held by the driver."""
+    return df.hint("merge")
+
+
 def discard(uri: str) -> None:
     """Removes a folder of the shared place, if it is there."""
     fs, path = open_fs(uri)

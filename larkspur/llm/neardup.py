@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, WordHashes, keep, mix64, small_batches, texts, words
+from larkspur.llm.common import WORD, WordHashes, keep, mix64, shuffled, small_batches, texts, words
 from larkspur.llm.components import components
 
 SHINGLE, SYMBOLS, CHUNK, BLOCK, DENSE = 5, 32, 4, 2048, 256
@@ -272,9 +272,9 @@ def hot_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for r in sets.join(F.broadcast(some), "node").select("set").repartition(8).mapInArrow(_tally, "counts binary").collect():
         counts += np.frombuffer(r["counts"], np.int32)
     shared = spark.sparkContext.broadcast(counts.tobytes())
-    rows = nodes.join(sets, "node").select("node", "root", "set").mapInArrow(_prefixes(percent, shared), "key long, node binary, root binary, n long, index boolean")
+    rows = nodes.join(shuffled(sets), "node").select("node", "root", "set").mapInArrow(_prefixes(percent, shared), "key long, node binary, root binary, n long, index boolean")
     rows = keep(rows, "nd-prefixes")
-    rows = rows.join(_mains(rows), "key").withColumn("rest", F.col("root") != F.col("main"))
+    rows = rows.join(shuffled(_mains(rows)), "key").withColumn("rest", F.col("root") != F.col("main"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = rows.withColumn("home", F.pmod(F.hash("node"), blocks))
     rows = rows.withColumn("block", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("home"))))
@@ -327,14 +327,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, family: DataFrame, sizes: DataF
     a set travels once to each block of leads, not once a pair. A task holds the sets of one
     block's leads, about LEADS and HELD shingles; what they are compared with streams past.
     """
-    pairs = pairs.join(family, pairs["a"] == family["node"], "left").select(F.coalesce("root", "a").alias("site"), "a", "b")
-    lead = pairs.select("site", "a").distinct().join(sizes.withColumnRenamed("node", "a"), "a")
+    pairs = pairs.join(shuffled(family), pairs["a"] == family["node"], "left").select(F.coalesce("root", "a").alias("site"), "a", "b")
+    lead = pairs.select("site", "a").distinct().join(shuffled(sizes.withColumnRenamed("node", "a")), "a")
     many = lead.groupBy("site").agg(F.greatest(F.ceil(F.count("*") / LEADS), F.ceil(F.sum("n") / HELD)).cast("int").alias("blocks"))
-    pairs = pairs.join(many, "site").withColumn("block", F.pmod(F.hash("a"), F.col("blocks")))
+    pairs = pairs.join(shuffled(many), "site").withColumn("block", F.pmod(F.hash("a"), F.col("blocks")))
     none = F.lit(None).cast("array<binary>")
     lead = pairs.select("site", "block", F.col("a").alias("node")).distinct().withColumn("leads", none)
     rest = pairs.groupBy("site", "block", F.col("b").alias("node")).agg(F.collect_list("a").alias("leads"))
-    rows = lead.union(rest).join(sets, "node").select("site", "block", "node", "leads", "set")
+    rows = lead.union(rest).join(shuffled(sets), "node").select("site", "block", "node", "leads", "set")
     rows = rows.repartition(_parts(rows), "site", "block").sortWithinPartitions("site", "block", F.col("leads").isNotNull())
     return rows.mapInArrow(_confirm(percent), "a binary, b binary")
 
@@ -371,14 +371,14 @@ def confirmed_pairs(pairs: DataFrame, sets: DataFrame, family: DataFrame, sizes:
     one task, each set sent once; pairs of larger families, and between families, go through
     `confirmed`.
     """
-    of = family.join(sizes, "node").groupBy("root").agg(((F.count("*") <= FAMILY) & (F.sum("n") <= HELD)).alias("small"))
-    site = family.join(of, "root")
+    of = family.join(shuffled(sizes), "node").groupBy("root").agg(((F.count("*") <= FAMILY) & (F.sum("n") <= HELD)).alias("small"))
+    site = family.join(shuffled(of), "root")
     left = site.select(F.col("node").alias("a"), F.col("root").alias("site"), "small")
     right = site.select(F.col("node").alias("b"), F.col("root").alias("other"))
-    placed = keep(pairs.join(left, "a").join(right, "b").select("a", "b", "site", (F.col("small") & (F.col("site") == F.col("other"))).alias("inside")), "nd-placed")
+    placed = keep(pairs.join(shuffled(left), "a").join(shuffled(right), "b").select("a", "b", "site", (F.col("small") & (F.col("site") == F.col("other"))).alias("inside")), "nd-placed")
     inside = placed.where("inside")
     none = F.lit(None).cast("binary")
-    held = sets.join(left.withColumnRenamed("a", "node"), "node").join(inside.select("site").distinct(), "site", "left_semi")
+    held = sets.join(shuffled(left.withColumnRenamed("a", "node")), "node").join(shuffled(inside.select("site").distinct()), "site", "left_semi")
     rows = held.select("site", F.lit(0).alias("kind"), F.col("node").alias("a"), none.alias("b"), "set").union(inside.select("site", F.lit(1).alias("kind"), "a", "b", none.alias("set")))
     rows = rows.repartition(_parts(rows), "site").sortWithinPartitions("site", "kind")
     return rows.mapInArrow(_confirm_family(percent), "a binary, b binary").union(confirmed(placed.where("not inside").select("a", "b"), sets, family, sizes, percent))
@@ -399,7 +399,7 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     keyed = nodes.select("node", "sig").mapInArrow(_keys, "key long, node binary")
     # Nodes that share a key with none are dropped before any comparison.
     shared = keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).where("size > 1")
-    shared = keep(shared.join(nodes.select("node", "n", "sig"), "node").select("key", "node", "n", "sig", "size"), "nd-keys")
+    shared = keep(shared.join(shuffled(nodes.select("node", "n", "sig")), "node").select("key", "node", "n", "sig", "size"), "nd-keys")
     hot = F.col("size") > BLOCK
     blocks = F.when(hot, F.pmod(F.hash("node"), F.ceil(F.col("size") / BLOCK).cast("int"))).otherwise(F.lit(0))
     blocked = shared.withColumn("block", blocks)
@@ -414,22 +414,22 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     any_hot = shared.where(hot).limit(1).count() > 0
     family = components(both)
     if any_hot:  # their nodes may have candidates in other blocks: without one so far, each is its own family
-        family = family.join(shared.where(hot).select("node").distinct(), "node", "full").select("node", F.coalesce("root", "node").alias("root"))
+        family = family.join(shuffled(shared.where(hot).select("node").distinct()), "node", "full").select("node", F.coalesce("root", "node").alias("root"))
     family = keep(family, "nd-family")
 
     # The sets of all nodes that have or may have a candidate, once, for both rounds.
-    need = keep(family.select("node").join(nodes.select("node", "text_key", "n"), "node"), "nd-need")
+    need = keep(family.select("node").join(shuffled(nodes.select("node", "text_key", "n")), "node"), "nd-need")
     sizes = need.select("node", "n")
     # The nodes grow with the corpus, so they are never broadcast to it.
-    text = docs.select("text_key", "text").join(need.select("node", "text_key").hint("merge"), "text_key").dropDuplicates(["text_key", "node"]).select("node", "text")
+    text = docs.select("text_key", "text").join(shuffled(need.select("node", "text_key")), "text_key").dropDuplicates(["text_key", "node"]).select("node", "text")
     sets = keep(text.mapInArrow(_sets, "node binary, set binary"), "nd-sets")
 
     links = keep(confirmed_pairs(hubs, sets, family, sizes, percent), "nd-links")
     root = components(links)
     # Under a key of one block, only nodes with a candidate can be in a pair; those of hot keys are all there.
-    rooted = blocked.join(need.select("node"), "node", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = blocked.join(shuffled(need.select("node")), "node", "left_semi").join(shuffled(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mains = keep(_mains(rooted), "nd-mains")
-    rooted = rooted.drop("size").join(mains, "key").withColumn("rest", F.col("root") != F.col("main"))
+    rooted = rooted.drop("size").join(shuffled(mains), "key").withColumn("rest", F.col("root") != F.col("main"))
     rest = rooted.where(F.col("size") <= DENSE).select("key", "node", "n", "sig", "root", "rest")
     cross = rest.repartition(_parts(rest), "key").sortWithinPartitions("key", "node").mapInArrow(_cross_pairs(percent), "a binary, b binary")
     if mains.where(F.col("size") > DENSE).limit(1).count():
@@ -439,10 +439,10 @@ def labelled(docs: DataFrame, percent: int) -> DataFrame:
     more = keep(confirmed_pairs(cross.distinct(), sets, family, sizes, percent), "nd-more")
     root = components(links.union(more))
 
-    label = nodes.select("node", "low").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    label = nodes.select("node", "low").join(shuffled(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = label.groupBy("root").agg(F.min("low").alias("rep"))
-    member = label.join(lows, "root").select("node", "rep")
-    out = rows.select("doc_id", "text_key", "node", "n").join(member, "node", "left")
+    member = label.join(shuffled(lows), "root").select("node", "rep")
+    out = rows.select("doc_id", "text_key", "node", "n").join(shuffled(member), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("rep.doc_id"))
     return out.select("doc_id", "text_key", "n", component.alias("component"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("rep_key"))
 
@@ -471,7 +471,7 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     stay = labelled(docs.select("doc_id", "text"), percent).where("n > 0").select(F.coalesce("rep_id", F.lit(-1)).alias("rid"), F.col("rep_id").isNull().alias("rnull"), F.col("rep_key").alias("rkey")).distinct()
     same = (F.coalesce("id", F.lit(-1)) == F.col("rid")) & (F.col("id").isNull() == F.col("rnull")) & (F.col("key") == F.col("rkey"))
-    one = rows.where(~blank).join(stay, same, "left_semi").withColumn("idn", F.coalesce("id", F.lit(-1))).withColumn("nul", F.col("id").isNull()).dropDuplicates(["idn", "nul", "key"])
+    one = rows.where(~blank).join(shuffled(stay), same, "left_semi").withColumn("idn", F.coalesce("id", F.lit(-1))).withColumn("nul", F.col("id").isNull()).dropDuplicates(["idn", "nul", "key"])
     return one.select("row.*").union(rows.where(blank).select("row.*"))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from larkspur.llm import common, fingerprint, html, lm, media, mixing, neardup, packing, quality, toxicity, training_order, wordhash
+from larkspur.llm import common, components, fingerprint, html, lm, media, mixing, neardup, packing, quality, toxicity, training_order, wordhash
 from larkspur.llm.eliasfano import EliasFano, from_buffer, to_bytes
 from larkspur.llm.tokens import part_ids
 
@@ -404,6 +404,27 @@ def test_sketches_merge(spark):
         assert x.m == (both or [min(x.sa + x.sb)])
 
 
+def test_components(spark):
+    """Few edges are united by a bounded number of stages, and as the rounds unite them."""
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(5, 5), (None, 7), (9, None), (301, 300), (301, 300)]
+    df = spark.createDataFrame([tuple(None if x is None else f"{x:03d}".encode() for x in e) for e in edges], "a binary, b binary")
+    want: dict = {}
+    for a, b in (e for e in edges if None not in e):
+        own = {x for x in (a, b) for x in (want.get(x) or {x})}
+        want |= dict.fromkeys(own, own)
+    want = {x: min(own) for x, own in want.items()}
+    root = lambda few: sorted((int(x.node), int(x.root)) for x in components.components(df, few=few).collect())
+    tracker = spark.sparkContext.statusTracker()
+    for few in (components.FEW, 0):
+        spark.sparkContext.setJobGroup(f"components-{few}", "")
+        assert root(few) == sorted(want.items())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [len(tracker.getJobIdsForGroup(f"components-{few}")) for few in (components.FEW, 0)]
+    assert jobs[0] <= 12 < jobs[1]
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_media(docs, odd, empty):
     for df in (docs, odd):
         for r, d in zip(sorted(media.stored(df).collect(), key=lambda r: (r.doc_id is not None, r.doc_id)), sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id))):

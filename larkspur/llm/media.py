@@ -300,13 +300,14 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in texts(b):
             t = t or b""
             data = store_wav(t + b"\xff" * (UNIT - len(t) if not t else -len(t) % UNIT))
-            main, *inner = sniff(data, finder)
+            main = sniff(data, finder)[0]
             back = read_wav(data, main)
+            own, _, inner = correct(back, DECLARED, finder)
             s = np.frombuffer(back, np.uint8)
             counts = np.bincount(s, minlength=256)
             level = counts @ np.arange(256) / len(s)
             share = counts[counts > 0] / len(s)
-            feature = f"{main.kind};corrected={int(main.kind != DECLARED)};samples={len(s)};mean={level:.4f};entropy={-(share * np.log2(share)).sum():.4f};distinct={len(share)};embedded={len(inner)}"
+            feature = f"{main.kind};corrected={int(main.kind != DECLARED)};samples={len(s)};mean={level:.4f};entropy={-(share * np.log2(share)).sum():.4f};distinct={len(share)};content={own};embedded={len(inner)}" + "".join(f";{m.kind}@{m.start}+{m.length}" for m in inner)
             row = (len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature)
             for c, v in zip(out, row, strict=True):
                 c.append(v)
@@ -319,7 +320,9 @@ def stored(docs: DataFrame) -> DataFrame:
 
     Null text counts as empty: 576 bytes of 255. Null doc_ids and repeated rows keep their
     rows; an empty table gives an empty table; only doc_id and text are read. Texts that hold
-    magic bytes themselves stay samples: they lie inside the confirmed WAV.
+    media themselves stay samples, inside the confirmed WAV; what is read back is sniffed too,
+    and the feature has the type of what the text begins with (content) and each medium further
+    in, with its place and length.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_store, OUT)
 

@@ -436,6 +436,18 @@ def test_media(docs, odd, empty):
     assert media.stored(empty).count() == 0
 
 
+def test_media_inside_texts(spark):
+    """What a text holds is in its feature: as what it begins with, and further in with its place; headers alone are nothing."""
+    pdf = "%PDF-1.4\nx\nstartxref\n9\n%%EOF"
+    wav = media.store_wav(b"abcd").decode()
+    texts_ = [pdf, "é " + wav + " and " + pdf, wav + pdf, "BM RIFF GIF8 %PDF-1.4 alone", None]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = [r.feature.partition(";content=")[2] for r in sorted(media.stored(df).collect())]
+    n, m = len(wav), len(pdf)
+    other = "application/octet-stream;embedded="
+    assert got == ["application/pdf;embedded=0", f"{other}2;audio/wav@3+{n};application/pdf@{3 + n + 5}+{m}", f"audio/wav;embedded=1;application/pdf@{n}+{m}", f"{other}0", f"{other}0"]
+
+
 def test_sniffing(spark):
     import gzip
     import io
